@@ -78,6 +78,21 @@ def _fields(found) -> list[T.StructField]:
     return [T.StructField(n, t) for names, b in found for n, t in zip(names, b.function.types, strict=True)]
 
 
+GROUP = "__group"
+
+
+def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """Groups dealt into a bounded number of packs, since a call for each small group costs more than its work."""
+    packs = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn(GROUP, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), F.lit(packs)).cast("int"))
+
+
+def _each(rows: pd.DataFrame, by: list[str], order: list[str]):
+    rows = _ordered(rows.drop(columns=GROUP), order)
+    for _, group in rows.groupby(by, dropna=False, sort=False):
+        yield group.reset_index(drop=True)
+
+
 def _ordered(rows: pd.DataFrame, order: list[str]) -> pd.DataFrame:
     return rows.sort_values(order, kind="stable") if order else rows
 
@@ -88,15 +103,17 @@ def aggregate(df: DataFrame, by: list[str], columns: dict, order: list[str]) ->
     schema = T.StructType([*[df.schema[c] for c in by], *_fields(found)])
     needs = list(dict.fromkeys([*by, *order, *[c for _, b in found for c in b.needs]]))
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows, order)
-        out = {c: rows[c].iloc[0] for c in by}
-        for names, b in found:
-            values = b.call(rows)
-            out |= dict(zip(names, values if b.function.many else (values,), strict=True))
-        return pd.DataFrame([out], columns=schema.names)
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for group in _each(rows, by, order):
+            out = {c: group[c].iloc[0] for c in by}
+            for names, b in found:
+                values = b.call(group)
+                out |= dict(zip(names, values if b.function.many else (values,), strict=True))
+            made.append(out)
+        return pd.DataFrame(made, columns=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in needs]).groupBy(*by).applyInPandas(group, schema)
+    return _dealt(df.select(*[F.col(f"`{c}`") for c in needs]), by).groupBy(GROUP).applyInPandas(pack, schema)
 
 
 def append(df: DataFrame, by: list[str], columns: dict, order: list[str]) -> DataFrame:
@@ -104,18 +121,20 @@ def append(df: DataFrame, by: list[str], columns: dict, order: list[str]) -> Dat
     found = outputs_of(columns)
     schema = T.StructType([*df.schema.fields, *_fields(found)])
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows, order).reset_index(drop=True)
-        out = rows.copy()
-        for names, b in found:
-            values = b.call(rows)
-            for n, v in zip(names, values if b.function.many else (values,), strict=True):
-                if len(v) != len(rows):
-                    raise ValueError(f"{n}: {len(v)} values for {len(rows)} rows")
-                out[n] = np.asarray(v)
-        return out[schema.names]
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for group in _each(rows, by, order):
+            new = {}
+            for names, b in found:
+                values = b.call(group)
+                for n, v in zip(names, values if b.function.many else (values,), strict=True):
+                    if len(v) != len(group):
+                        raise ValueError(f"{n}: {len(v)} values for {len(group)} rows")
+                    new[n] = np.asarray(v)
+            made.append(group.assign(**new))
+        return pd.concat(made)[schema.names]
 
-    return df.groupBy(*by).applyInPandas(group, schema)
+    return _dealt(df, by).groupBy(GROUP).applyInPandas(pack, schema)
 
 
 def append_from_rows(df: DataFrame, by: list[str], columns: dict, order: list[str]) -> DataFrame:
@@ -123,17 +142,18 @@ def append_from_rows(df: DataFrame, by: list[str], columns: dict, order: list[st
     fields = [T.StructField(n, _type(t)) for n, (t, _) in columns.items()]
     schema = T.StructType([*df.schema.fields, *fields])
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows, order).reset_index(drop=True)
-        records = rows.to_dict("records")
-        out = rows.copy()
-        for n, (_, fn) in columns.items():
-            values = fn(records)
-            listed = values if not isinstance(values, dict) else [values.get(i) for i in range(len(records))]
-            out[n] = [*listed, *[None] * (len(records) - len(listed))]
-        return out[schema.names]
-
-    return df.groupBy(*by).applyInPandas(group, schema)
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for group in _each(rows, by, order):
+            records, new = group.to_dict("records"), {}
+            for n, (_, fn) in columns.items():
+                values = fn(records)
+                listed = list(values) if not isinstance(values, dict) else [values.get(i) for i in range(len(records))]
+                new[n] = [*listed, *[None] * (len(records) - len(listed))]
+            made.append(group.assign(**new))
+        return pd.concat(made)[schema.names]
+
+    return _dealt(df, by).groupBy(GROUP).applyInPandas(pack, schema)
 
 
 def windowed(df: DataFrame, by: list[str], ticks: str, own: str, low: int, high: int, columns: dict, drop: list[str], order: list[str]) -> DataFrame:
