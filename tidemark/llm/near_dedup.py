@@ -7,11 +7,12 @@ stops at the first level after which every slot is filled, since no later rank c
 Classes. Documents with equal shingle sets (128-bit digest of the sorted set) are one class, so large groups of copies
 cost one node each. Bands of signature rows deal classes into buckets.
 
-Links. In each bucket the smallest class is compared with all others (a star, not all pairs); verified links are
-grouped. What a bucket then still holds in different groups is compared pair by pair, where length and a 256-bit sketch
-of the signature leave a chance of the threshold (5 standard deviations below it); the second pass takes one partner
-per class and group, and the last whatever is still apart. Every link is verified on full sets of shingle hashes
-(64 bit). Banding misses a pair at the threshold with probability 1e-6 or less; nothing else is lost.
+Links. In each bucket the smallest class is compared with all others (a star, not all pairs). Stars that touch are a
+cluster; where verified links leave a cluster in several groups, its members meet with their full sets, in blocks of
+block_size, and pairs of different groups are compared that have a band in common and whose length and 256-bit sketch
+of the signature leave a chance of the threshold (5 standard deviations below it). Only links come out, one for two
+groups that they join. Every link is verified on full sets of shingle hashes (64 bit). Banding misses a pair at the
+threshold with probability 1e-6 or less; nothing else is lost.
 
 Groups. Tasks contract their links by union-find to star forests; large-star and small-star rounds then join these
 across tasks, each round written to the shared folder. Nothing is collected to the driver but counts.
@@ -201,9 +202,106 @@ def _links(root, find):
     return pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.binary()), pa.array(nodes, pa.binary())], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node in links (a, b), a < b: comp is the smallest node reachable. Large-star, small-star."""
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(len(a), len(b)): how many sketch bits agree."""
+    out = np.full((len(a), len(b)), 64 * a.shape[1], np.int16)
+    for k in range(a.shape[1]):
+        out -= np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
+
+
+class Groups:
+    """Union-find over numbers."""
+
+    def __init__(self, label: np.ndarray):
+        self.up = label.copy()
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def all(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def missing_links(comps: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, bands: np.ndarray, block: np.ndarray, percent: int, least_bits: int) -> list[tuple[int, int]]:
+    """Links between members of different groups that have a band in common, by their full sets; one is enough to join two groups.
+
+    block: 0 or 1 for each member; with both present only pairs across are looked at."""
+    _, group = np.unique(np.array(comps, object).astype(bytes), return_inverse=True)
+    first = np.full(group.max() + 1, -1)
+    for i in range(len(group) - 1, -1, -1):
+        first[group[i]] = i
+    groups, across = Groups(first[group]), len(np.unique(block)) > 1
+    size = np.array([len(x) for x in sets], np.int64)
+    minor = np.flatnonzero(group != np.bincount(group).argmax())  # every pair across groups has one of these
+    out = []
+    for u in minor.tolist():
+        label = groups.all()
+        other = label != label[u]
+        if across:
+            other &= block != block[u]
+        v = np.flatnonzero(other)
+        v = v[100 * np.minimum(size[v], size[u]) >= percent * np.maximum(size[v], size[u])]
+        v = v[_agreement(sketch[u : u + 1], sketch[v])[0] >= least_bits] if len(v) else v
+        v = v[(bands[v] == bands[u]).any(1)] if len(v) else v
+        if not len(v):
+            continue
+        flat = np.concatenate([sets[i] for i in v.tolist()])
+        at = np.minimum(np.searchsorted(sets[u], flat), size[u] - 1)
+        both = np.add.reduceat((sets[u][at] == flat).astype(np.int64), np.cumsum(size[v]) - size[v])
+        for i in v[100 * both >= percent * (size[u] + size[v] - both)].tolist():
+            if groups.find(i) != groups.find(u):
+                groups.join(i, u)
+                out.append((i, u))
+    return out
+
+
+def _cluster_task(percent: int, least_bits: int):
+    """Rows (cluster, i, j, side, node, comp, sketch, bands, set), sorted by the first three -> links that were missing."""
+
+    def links(rows: list) -> list[tuple]:
+        if len({r[5] for r in rows}) < 2:
+            return []
+        array = lambda k: np.array([r[k] for r in rows], np.int64)
+        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        found = missing_links([r[5] for r in rows], sets, array(6).view(np.uint64), array(7), array(3), percent, least_bits)
+        return [(min(rows[i][4], rows[j][4]), max(rows[i][4], rows[j][4])) for i, j in found]
+
+    def task(batches):
+        now, rows = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != now:
+                    out += links(rows)
+                    now, rows = row[:3], []
+                rows.append(row)
+            if out:
+                yield batch_of(out)
+        if out := links(rows):
+            yield batch_of(out)
+
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
+
+    return task
+
+
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, comp) of every node in links (a, b), a < b: comp is the smallest node reachable. Large-star, small-star.
+
+    rounds: stop after so many; then comp is some node of the same group."""
     edges = written(links.mapInArrow(_forest_task, "a binary, b binary").dropDuplicates(), "links")
+    done = 0
     while True:
         # large star: each node links its larger neighbours to its smallest neighbour (itself included)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -212,7 +310,10 @@ def components(links: DataFrame) -> DataFrame:
         # small star: each node links its smaller neighbours, and itself, to the smallest
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select("low", F.explode(F.array("a", "b")).alias("b")).select(F.col("low").alias("a"), "b").where("a != b").dropDuplicates()
-        after = written(small, "links")
+        after, done = written(small, "links"), done + 1
+        if done == rounds:
+            least = after.groupBy("b").agg(F.min("a").alias("a"))
+            return least.select(F.col("b").alias("node"), F.col("a").alias("comp"))
         mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark(after) == mark(edges):
             break
@@ -220,63 +321,41 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("comp"))).dropDuplicates()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
     bands, rows = bands_for(percent / 100)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed = written(texts.mapInArrow(_sign_task(k, bands, rows), "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"), "signed")
     full = signed.where(F.col("node").isNotNull())
-    first = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = written(
-        full.join(first, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "n_shingles", "bands", "sketch"),
-        "nodes",
-    )
-    in_band = nodes.select(F.explode("bands").alias("band"), "node", "n_shingles", "sketch")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n_shingles", "bands", "sketch")).alias("best")
+    nodes = written(full.groupBy("node").agg(best).select("node", "best.doc_id", "best.n_shingles", "best.bands", "best.sketch"), "nodes")
+    in_band = nodes.select(F.explode("bands").alias("band"), "node")
     stars = in_band.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = written(in_band.join(stars, "band").select("band", "lead", "node", "n_shingles", "sketch"), "buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with a verdict, on full sets."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).dropDuplicates()
-        ids = nodes.select("node", "doc_id").join(wanted, "node")
-        sets = texts.join(ids, "doc_id").select("text", "node").mapInArrow(_sets_task(k), "node binary, set binary").dropDuplicates(["node"])
-        sets = written(sets, "sets")
-        one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-        two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-        return written(pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify_task(percent), "a binary, b binary, linked boolean"), "verified")
-
-    def long_enough(n: str, m: str):
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) if percent else F.lit(True)
-
-    # 256 sketch bits agree with probability (1 + J) / 2
-    p = (1 + percent / 100) / 2
-    least_bits = math.floor(256 * p - 5 * math.sqrt(256 * p * (1 - p)))
+    members = written(in_band.join(stars, "band").select("band", "lead", "node"), "buckets")
+
     pairs = written(members.where("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).dropDuplicates(), "pairs")
-    checked, links = None, None
-    for last in (False, False, True):
-        found = verified(pairs)
-        checked = found if checked is None else checked.union(found)
-        links = found.where("linked").select("a", "b") if links is None else links.union(found.where("linked").select("a", "b"))
-        comp = written(components(links), "groups")
-        if last:
-            break
-        grouped = members.drop("lead").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        spread = grouped.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1 AND size > 2").select("band")
-        apart = grouped.join(spread, "band")
-        left = apart.select("band", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n_shingles", "sketch")])
-        right = apart.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n_shingles", "sketch")])
-        agree = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(1, 4)), F.bit_count(F.col("sketch_a")[0].bitwiseXOR(F.col("sketch_b")[0])))
-        open_pairs = (
-            left.join(right, (left["band"] == right["band"]) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & long_enough("n_shingles_a", "n_shingles_b") & (256 - agree >= least_bits))
-            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "comp_b")
-            .dropDuplicates(["a", "b"])
-            .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        if checked is found:  # the second pass: one partner of each other group
-            open_pairs = open_pairs.groupBy("a", "comp_b").agg(F.min("b").alias("b"))
-        pairs = written(open_pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            break
+    clusters = written(components(pairs), "clusters").withColumnRenamed("comp", "cluster")
+    ids = nodes.select("node", "doc_id").join(clusters.select("node"), "node")
+    sets = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"])).select("text", "node").mapInArrow(_sets_task(k), "node binary, set binary")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    checked = pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify_task(percent), "a binary, b binary, linked boolean")
+    links = written(checked.where("linked").select("a", "b"), "star-links")
+
+    # clusters that are still in several groups: all pairs across groups that have a band in common, block by block
+    p = (1 + percent / 100) / 2  # 256 sketch bits agree with probability (1 + J) / 2
+    least_bits = math.floor(256 * p - 5 * math.sqrt(256 * p * (1 - p)))
+    comp = components(links, 1)  # a group may still be in parts, which only costs comparisons
+    grouped = written(clusters.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "grouped")
+    spread = grouped.groupBy("cluster").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 != c1 AND size > 2")
+    blocks = F.ceil(F.col("size") / block_size).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    apart = grouped.join(spread.select("cluster", blocks.alias("blocks")), "cluster").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "comp")
+    full_rows = apart.join(nodes.select("node", "sketch", "bands"), "node").join(sets, "node").select("cluster", "i", "j", "side", "node", "comp", "sketch", "bands", "set")
+    more = full_rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_cluster_task(percent, least_bits), "a binary, b binary")
+    comp = written(components(links.union(more)), "groups")
     owner = nodes.select("node", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = owner.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = owner.join(heads, "comp").select("node", "component_id")
