@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import re
 import sys
-
-import numpy as np
+from array import array
 
 PIECES_KEPT = 1_000_000
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
+_SPACED = [" " + chr(c) for c in (32, 9, 10, 11, 12, 13, 28, 29, 30, 31)]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,8 +30,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def safe(text: str) -> bool:
+    """Whether a text may be cut before each space."""
+    if text.isascii() and text[-1] != " " and not any(x in text for x in _SPACED):
+        return True
+    return not _UNSAFE.search(text)
+
+
 class Encoder(dict):
-    """Piece -> ids as little-endian unsigned 32-bit integers."""
+    """Piece (without the space before it) -> ids of space and piece, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         import os
@@ -44,33 +51,52 @@ class Encoder(dict):
         self.library.encode_special_tokens = True
         self.letters = _byte_letters()
         self.model = self.library.model
+        self.full_stop, self.comma, self.new_line = (self.encoded(x) for x in ".,\n")
+        self.starts = Starts(self)
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha():  # one pre-token
-            spelt = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            out = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
-        elif body[-1:] in (".", ",") and body[:-1].isalpha():  # two
-            return self[piece[:-1]] + self[body[-1]]
+        return self.looked_up(piece, " ", self)
+
+    def looked_up(self, piece: str, before: str, known) -> bytes:
+        """ids of before + piece; known: a table of pieces with the same `before`."""
+        if piece.isalpha():  # one pre-token
+            spelt = (before + piece).encode("utf-8").decode("latin-1").translate(self.letters)
+            out = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        elif piece[-1:] in (".", ",") and piece[:-1].isalpha():  # two
+            return known[piece[:-1]] + (self.full_stop if piece[-1] == "." else self.comma)
         else:
-            out = self.encoded(piece)
-        if len(piece) < 64:
-            if len(self) >= PIECES_KEPT:
-                self.clear()
-            self[piece] = out
+            left, line, right = piece.partition("\n")
+            if line and left and right and not left[-1].isspace() and not right[0].isspace():  # the line's end is a pre-token
+                return known[left] + self.new_line + self.starts[right]
+            out = self.encoded(before + piece)
+        if len(piece) < 64:  # what is put together from pieces is not kept itself
+            if len(known) >= PIECES_KEPT:
+                known.clear()
+            known[piece] = out
         return out
 
     def ids(self, text: str | None) -> bytes:
         """All ids of a whole text."""
         if not text:
             return b""
-        if _UNSAFE.search(text):
+        if not safe(text):
             return self.encoded(text)
         first, *rest = text.split(" ")
-        return b"".join([self[first] if first else b"", *map(self.__getitem__, [" " + x for x in rest])])
+        return b"".join([self.encoded(first) if first else b"", *map(self.__getitem__, rest)])
+
+
+class Starts(dict):
+    """Piece without a space before it -> ids; for the first word of a line."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.encoder.looked_up(piece, "", self)
 
 
 def encoder(path: str) -> Encoder:
