@@ -12,8 +12,9 @@ texts have an empty fingerprint; two empty fingerprints are alike (1.0), an empt
 
 Order. The next document of each is found over a table of ids alone: it is range-partitioned and sorted, numbered within
 partitions, and the partitions' row counts give the rest. Rows that share an id are ordered by a hash of their texts;
-rows equal in both are ordered arbitrarily, which no result can show. A null id comes first. Texts are shuffled once by
-id; after that only the prefixes that the previous document needs move, with fingerprints.
+rows equal in both are ordered arbitrarily, which no result can show. A null id comes first. Texts are shuffled once, by
+a hash of id and text, so that no id is hot; after that only the prefixes that the previous document needs move, with
+fingerprints.
 """
 
 from __future__ import annotations
@@ -96,22 +97,27 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of every text, of its edited text (the last half replaced by the next document's start) and their likeness."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    light = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.length("text").cast("long").alias("n"))
-    same = Window.partitionBy("doc_id").orderBy("mark")
-    numbered = light.withColumn("copy", F.row_number().over(same))
-    placed = written(numbered.repartitionByRange(tasks_for(docs), F.col("doc_id").asc_nulls_first(), "copy").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "copy").withColumn("at", F.monotonically_increasing_id()), "order")
+    # rows are known by a hash of id and text, and by a number among rows equal in both
+    marked_texts = texts.withColumn("mark", F.xxhash64("text")).withColumn("h", F.xxhash64("doc_id", "mark"))
+    same = Window.partitionBy("h").orderBy("doc_id", "mark")
+    light = marked_texts.select("doc_id", "mark", "h", F.length("text").cast("long").alias("n")).withColumn("copy", F.row_number().over(same))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("copy")]
+    placed = written(light.repartitionByRange(tasks_for(docs), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "order")
     placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("row", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     offsets = offsets_by_part(placed.withColumn("one", F.lit(1).cast("long")), "part", {"before": "one"})
-    ranked = written(placed.join(offsets, "part").select("doc_id", "copy", "n", (F.col("before") + F.col("row")).alias("rank")), "ranks")
-    total = ranked.count()
-    if not total:
-        total = 1
-    previous = ranked.select(F.col("doc_id").alias("to_id"), F.col("copy").alias("to_copy"), F.floor(F.col("n") / 2).alias("need"), ((F.col("rank") + 1) % F.lit(total)).alias("rank"))
-    routes = ranked.join(previous, "rank").select(F.col("doc_id").alias("of_id"), F.col("copy").alias("of_copy"), "to_id", "to_copy", "need")
-    own = texts.withColumn("mark", F.xxhash64("text")).withColumn("copy", F.row_number().over(same)).drop("mark")
-    joined = own.join(routes, own["doc_id"].eqNullSafe(routes["of_id"]) & (own["copy"] == routes["of_copy"]))
-    sent = joined.select("to_id", "to_copy", F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("start"), anchors(F.col("text")).alias("next_anchors"))
-    full = own.join(sent, own["doc_id"].eqNullSafe(sent["to_id"]) & (own["copy"] == sent["to_copy"]))
+    ranked = written(placed.join(offsets, "part").select("h", "copy", "n", (F.col("before") + F.col("row")).alias("rank")), "ranks")
+    total = max(1, ranked.count())
+    previous = ranked.select(F.col("h").alias("to_h"), F.col("copy").alias("to_copy"), F.floor(F.col("n") / 2).alias("need"), ((F.col("rank") + 1) % F.lit(total)).alias("rank"))
+    routes = ranked.join(previous, "rank").select(F.col("h").alias("of_h"), F.col("copy").alias("of_copy"), "to_h", "to_copy", "need")
+    own = marked_texts.withColumn("copy", F.row_number().over(same)).select("doc_id", "text", "h", "copy")
+
+    def one_row(a: str, b: str) -> Column:
+        """Equal copies, said so that texts stay dealt by h alone (an equality would deal them out once more)."""
+        return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+
+    joined = own.join(routes, (F.col("h") == F.col("of_h")) & one_row("copy", "of_copy"))
+    sent = joined.select("to_h", "to_copy", F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("start"), anchors(F.col("text")).alias("next_anchors"))
+    full = own.join(sent, (F.col("h") == F.col("to_h")) & one_row("copy", "to_copy"))
     n = F.length("text")
     edited = full.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_anchors", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("start")).alias("edited"))
     marked = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("b"), F.col("next_anchors").alias("c"))
