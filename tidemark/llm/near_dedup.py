@@ -355,6 +355,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
     apart = apart.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "comp")
     full_rows = apart.join(nodes.select("node", "sketch", "bands"), "node").join(sets, "node").select("cluster", "i", "j", "side", "node", "comp", "sketch", "bands", "set")
     more = full_rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_cluster_task(percent, least_bits), "a binary, b binary")
+    more = written(more, "cluster-links")  # else the next Python function would stand in the same stage, with workers of its own
     comp = written(components(links.union(more)), "groups")
     owner = nodes.select("node", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = owner.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
