@@ -12,7 +12,7 @@ import re
 import sys
 from array import array
 
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 250_000
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
 _SPACED = [" " + chr(c) for c in (32, 9, 10, 11, 12, 13, 28, 29, 30, 31)]
 
@@ -73,8 +73,9 @@ class Encoder(dict):
                 return known[left] + self.new_line + self.starts[right]
             out = self.encoded(before + piece)
         if len(piece) < 64:  # what is put together from pieces is not kept itself
-            if len(known) >= PIECES_KEPT:
-                known.clear()
+            if len(known) >= PIECES_KEPT:  # the first are mostly the frequent ones
+                for rare in list(known)[PIECES_KEPT // 2 :]:
+                    del known[rare]
             known[piece] = out
         return out
 
