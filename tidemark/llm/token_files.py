@@ -9,7 +9,7 @@ A reader seeks to the footer, then to the index, and decompresses only frames of
 Files hold consecutive ranges of doc_id in ascending order. A task writes to a name of its own and then renames, so
 that a repeated task leaves one good file; the manifest names the files that count. A null text is empty (its ids are
 the end id alone); null ids sort first and are stored as the smallest 64-bit integer. Rows that share an id are stored
-each, in the order of their texts. One document is held in memory whole. An empty table gives no documents.
+each, in the order of a hash of their texts. One document is held in memory whole. An empty table gives no documents.
 """
 
 from __future__ import annotations
@@ -138,7 +138,8 @@ def _write_task(folder: str, path: str, end: int, dtype: str):
 def write_tokens(docs: DataFrame, folder: str, end: int = 2, path: str | None = None, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> list:
     """Writes whole texts' ids in ascending doc_id order; the manifest, one entry per file and in order, with the ids before each."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    ordered = texts.repartitionByRange(tasks_for(docs), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]  # range bounds are sampled to the driver: they must hold no texts
+    ordered = texts.repartitionByRange(tasks_for(docs), *order).sortWithinPartitions(*order, "text")
     rows = ordered.mapInArrow(_write_task(folder, path or tokenizer_path(), end, dtype), "file string, size long, first_id long, tokens long, docs long").collect()  # one per file, by partition
     manifest, before = [], 0
     for r in rows:
