@@ -12,7 +12,7 @@ import re
 import sys
 from array import array
 
-PIECES_KEPT = 250_000
+PIECES_KEPT = 500_000
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
 _SPACED = [" " + chr(c) for c in (32, 9, 10, 11, 12, 13, 28, 29, 30, 31)]
 
