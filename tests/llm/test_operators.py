@@ -197,6 +197,19 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids_of(text), repr(text)
 
 
+def test_tokens_with_a_small_table(monkeypatch):
+    """Rows are right while pieces are dropped from the table, and it stays bounded."""
+    monkeypatch.setattr(tokens, "PIECES_KEPT", 40)
+    encoder, rnd = tokens.Encoder(tokens.tokenizer_path()), random.Random(5)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    for _ in range(60):
+        text = " ".join("".join(rnd.choice("abc\n.") for _ in range(rnd.randrange(1, 5))) for _ in range(30))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder) <= 40 and len(encoder.starts) <= 40
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack(docs, length=64, windows=4, least_cut=8).collect()
     assert packing.pack(empty).count() == 0
