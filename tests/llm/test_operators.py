@@ -210,6 +210,13 @@ def test_tokens_with_a_small_table(monkeypatch):
         assert len(encoder) <= 40 and len(encoder.starts) <= 40
 
 
+def test_tokens_of_many_short_lines():
+    """Long runs of lines without a space are split at line ends, however many these are."""
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    for text in ("a " + "\n".join(["word"] * 5000), "x\n" * 3000 + "\n\n" + "12.\n字\n" * 2000, "one " + "\n".join(f"{i},é" for i in range(2000)) + "\n"):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids_of(text)
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack(docs, length=64, windows=4, least_cut=8).collect()
     assert packing.pack(empty).count() == 0

@@ -14,6 +14,7 @@ from array import array
 
 PIECES_KEPT = 500_000
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
+_LINE_END = re.compile(r"(?<=\S)\n(?=\S)")  # a pre-token of its own
 _SPACED = [" " + chr(c) for c in (32, 9, 10, 11, 12, 13, 28, 29, 30, 31)]
 
 
@@ -68,9 +69,9 @@ class Encoder(dict):
         elif piece[-1:] in (".", ",") and piece[:-1].isalpha():  # two
             return known[piece[:-1]] + (self.full_stop if piece[-1] == "." else self.comma)
         else:
-            left, line, right = piece.partition("\n")
-            if line and left and right and not left[-1].isspace() and not right[0].isspace():  # the line's end is a pre-token
-                return known[left] + self.new_line + self.starts[right]
+            first, *lines = _LINE_END.split(piece) if "\n" in piece else (piece,)
+            if lines:  # in a loop: a piece may have any number of lines
+                return self.new_line.join([known[first], *map(self.starts.__getitem__, lines)])
             out = self.encoded(before + piece)
         if len(piece) < 64:  # what is put together from pieces is not kept itself
             if len(known) >= PIECES_KEPT:  # the first are mostly the frequent ones
