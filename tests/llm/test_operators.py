@@ -373,6 +373,35 @@ def test_toxicity(spark, docs, rows, empty):
     assert toxicity.score_toxicity(empty, labelled).count() == 0
 
 
+def test_toxicity_counts_all_words(spark):
+    """Words without any lean to a label have coordinates too, with IDF over all documents."""
+    texts = [(0, "alpha beta beta gamma"), (1, "alpha delta"), (2, "beta Epsilon."), (3, "alpha gamma"), (4, "alpha"), (5, None), (6, "zeta eta")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labelled = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "doc_id long, label int")
+    index = toxicity.build_index(docs, labelled)
+    assert sorted(index.vocabulary) == ["alpha", "beta", "delta", "epsilon", "gamma"]
+    df = {"alpha": 4, "beta": 2, "gamma": 2, "delta": 1, "epsilon": 1}
+    # examples with the term, and those of label 1
+    seen = {"alpha": (2, 1), "beta": (2, 0), "gamma": (1, 0), "delta": (1, 1), "epsilon": (1, 0)}
+
+    def weight(t):
+        n, p = seen[t]
+        g = 2 * sum(x * math.log(x / (n * share)) for x, share in ((p, 1 / 3), (n - p, 2 / 3)) if x)
+        return math.log(1 + 7 / df[t]) * (1 + max(g, 0) / 10)
+
+    def vector(text):
+        c = Counter(w.strip(".") for w in (text or "").lower().split())
+        v = {t: (1 + math.log(n)) * weight(t) for t, n in c.items() if t in df}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    by = dict(texts)
+    for r in toxicity.score_toxicity(docs, labelled).collect():
+        mine = vector(by[r.doc_id])
+        want = {i: s for i in (0, 1, 2) if (s := sum(x * vector(by[i]).get(t, 0) for t, x in mine.items())) > 0}
+        assert dict(zip(r.evidence, r.evidence_cosine, strict=True)) == pytest.approx(want)
+
+
 def test_block_max_is_exact():
     rnd = random.Random(8)
     entries = list({tuple(sorted((t, rnd.randrange(1, 4)) for t in rnd.sample(range(20), rnd.randrange(0, 6)))) for _ in range(500)})

@@ -1,24 +1,25 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and their prefixes. A Spark aggregation over the labelled examples counts in how many texts of either
-label each term stands, and the terms that go with label 1 (G-test) are the vocabulary; all other words of a text count
-as one term, "the rest". Examples with equal vectors are one entry of the index, with counts of both labels. The index
-keeps, for each term, postings in entry order and the largest weight in each block of entries; a query visits blocks in
-falling order of their upper bound and stops when no block can beat the k-th best cosine, so the k nearest are exact.
-Neighbours vote with weight cosine^4 times the root of their count; a logistic curve, fitted on leave-one-out votes,
-turns votes into calibrated scores. Evidence: ids of the nearest examples.
+"""Toxicity by nearest labelled examples: exact cosine of TF-IDF vectors over all words, by an inverted index.
+
+A term is a word in lower case without signs at its ends. All terms of the labelled examples are indexed. A term weighs
+(1 + log of its count) * IDF * lean: the IDF is of all documents, and lean = 1 + G / 10, where G is the G-test of the
+term against the labels, so that a word that goes with a label counts more but none is left out (lean 1 for all words
+finds far fewer toxic texts; see README). A word that no example has has no coordinate: it would lengthen a text's
+vector, which scales its cosines alike and changes no neighbour and no vote. Examples with equal counts are one entry of
+the index, with counts of both labels. Cosines of all entries are summed for a few texts at a time: the most frequent
+terms as one matrix product, the others by their postings; so the k nearest are exact. Neighbours vote with weight
+cosine^4 times the root of their count; a logistic curve, fitted on leave-one-out votes, turns votes into calibrated
+scores. Evidence: ids of the nearest examples.
 
 At most max_examples labelled rows are indexed, chosen by a hash of the id (a documented bound); every row is scored
-over its whole text. Only the text is an input of a score. Null and empty texts have no terms: their score is the
-calibrated share of label 1 among examples without vocabulary terms. Without examples every score is 0. Repeated rows
-get equal scores; null ids are returned as they are; unknown columns are ignored.
+over its whole text. Null and empty texts, and texts without any word of an example, have no neighbours: their score is
+that of a vote of 0. Without examples every score is 0. Repeated rows get equal scores; null ids are returned as they
+are; unknown columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,102 +30,116 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 MAX_EXAMPLES = 8000
-MAX_TERMS = 2000
-LEAST_G = 25.0
-PREFIXES = (4, 5, 6, 7, 8)
-BLOCK, K = 64, 15
+LEAN = 10.0
+K, AT_ONCE = 15, 64
+FREQUENT = 1024  # terms in the matrix; for speed alone
 CACHE = 300_000
-REST = "\0rest"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def terms_of(word: str) -> list[str]:
-    """A word in lower case without signs at its ends, and its prefixes (marked by a star)."""
-    w = _EDGES.sub("", word).lower()
-    return [w, *(f"{w[:n]}*" for n in PREFIXES if n < len(w))] if w else []
+def term_of(word: str) -> str:
+    """A word in lower case without signs at its ends; empty if it has nothing else."""
+    return (word if word.isalnum() else _EDGES.sub("", word)).lower()
 
 
 class Terms(dict):
-    """Word -> indices of its vocabulary terms (the longest match only, so that a word isn't counted many times)."""
+    """Word -> index of its term, -1 where no example has it."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str):
-        found = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
-        out = found[0] if found else None
+    def __missing__(self, word: str) -> int:
+        out = self.vocabulary.get(term_of(word), -1)
         if len(self) < CACHE and len(word) < 64:
             self[word] = out
         return out
 
 
-def counted(text: str | None, terms: Terms) -> tuple:
-    """((term, count), ...), ascending; a hashable description of a text."""
-    found = Counter(map(terms.__getitem__, _WORDS.findall(text or "")))
-    found.pop(None, 0)
-    return tuple(sorted(found.items()))
+def counted(text: str | None, terms: Terms) -> np.ndarray:
+    """(term, count) of each term, ascending."""
+    found = np.array([*map(terms.__getitem__, _WORDS.findall(text or ""))], np.int64)
+    return np.column_stack(np.unique(found[found >= 0], return_counts=True))
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Inverted index of unit vectors."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray  # the last is of the rest
+    idf: np.ndarray  # times lean
     ids: list[int]  # of each entry, its smallest id
     n: np.ndarray
     positive: np.ndarray
-    docs: list[np.ndarray] = field(default_factory=list)  # by term
-    weights: list[np.ndarray] = field(default_factory=list)
-    block_max: np.ndarray = None
+    starts: np.ndarray = None  # of each term's postings
+    docs: np.ndarray = None
+    weights: np.ndarray = None
+    frequent: np.ndarray = None  # terms of the matrix
+    place: np.ndarray = None  # of each term in it, or -1
+    matrix: np.ndarray = field(default=None, repr=False)
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def vector(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([*(t for t, _ in counts), len(self.idf) - 1], np.int64)
-        w = np.array([*(1 + math.log(c) for _, c in counts), 1.0]) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
-
-    def build(self, entries: list[tuple]) -> None:
-        post: list[list] = [[] for _ in self.idf]
-        for e, counts in enumerate(entries):
-            for t, w in zip(*self.vector(counts), strict=True):
-                post[t].append((e, w))
-        self.docs = [np.array([e for e, _ in p], np.int64) for p in post]
-        self.weights = [np.array([w for _, w in p]) for p in post]
-        self.block_max = np.zeros((len(self.idf), -(-max(1, len(entries)) // BLOCK)))
-        for t, (d, w) in enumerate(zip(self.docs, self.weights, strict=True)):
-            np.maximum.at(self.block_max[t], d // BLOCK, w)
-
-    def nearest(self, counts: tuple, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Exact: entries of the k largest cosines (ties: the first entries), and these."""
-        at, q = self.vector(counts)
-        bound = q @ self.block_max[at]
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if len(best_s) >= k and bound[b] < best_s[k - 1] - 1e-12 or bound[b] <= 0:
-                break
-            first = b * BLOCK
-            s = np.zeros(min(BLOCK, len(self.ids) - first))
-            for t, w in zip(at, q, strict=True):
-                d = self.docs[t]
-                i, j = np.searchsorted(d, (first, first + BLOCK))
-                s[d[i:j] - first] += w * self.weights[t][i:j]
-            e, s = np.concatenate([best_e, np.arange(first, first + len(s))]), np.concatenate([best_s, s])
-            order = np.lexsort((e, -s.round(12)))[:k]
-            best_e, best_s = e[order], s[order]
-        hit = best_s > 0
-        return best_e[hit], best_s[hit]
-
-    def vote(self, counts: tuple, leave: int | None = None, label: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        at, c = np.asarray(counts, np.int64).reshape(-1, 2).T
+        w = (1 + np.log(c)) * self.idf[at]
+        return at, w / max(np.sqrt((w * w).sum()), 1e-300)
+
+    def build(self, entries: list) -> None:
+        vectors = [self.vector(c) for c in entries]
+        terms = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
+        order = np.argsort(terms, kind="stable")
+        self.docs = np.repeat(np.arange(len(entries)), [len(at) for at, _ in vectors])[order]
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        df = np.bincount(terms, minlength=len(self.idf))
+        self.starts = np.concatenate([[0], np.cumsum(df)])
+        self.frequent = np.argsort(-df, kind="stable")[:FREQUENT]
+        self.frequent = self.frequent[df[self.frequent] > len(entries) / 64]
+        self.place = np.full(len(self.idf), -1)
+        self.place[self.frequent] = np.arange(len(self.frequent))
+
+    def __getstate__(self):
+        return self.__dict__ | {"matrix": None}  # each worker fills its own
+
+    def cosines(self, some: list) -> np.ndarray:
+        """Of each text (its counts) with each entry."""
+        if self.matrix is None:
+            self.matrix = np.zeros((len(self.frequent), len(self.ids)))
+            for k, t in enumerate(self.frequent):
+                mine = slice(self.starts[t], self.starts[t + 1])
+                self.matrix[k, self.docs[mine]] = self.weights[mine]
+        vectors, size = [self.vector(c) for c in some], len(self.ids)
+        at, w = np.concatenate([x for x, _ in vectors]), np.concatenate([x for _, x in vectors])
+        row = np.repeat(np.arange(len(some)), [len(x) for x, _ in vectors])
+        place = self.place[at]
+        left = np.zeros((len(some), len(self.frequent)))
+        left[row[place >= 0], place[place >= 0]] = w[place >= 0]
+        at, w, row = at[place < 0], w[place < 0], row[place < 0]
+        n = self.starts[at + 1] - self.starts[at]
+        posting = np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)
+        rare = np.bincount(np.repeat(row * size, n) + self.docs[posting], np.repeat(w, n) * self.weights[posting], len(some) * size)
+        return left @ self.matrix + rare.reshape(len(some), size)
+
+    def nearest_of(self, some: list, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Exact: for each text, entries of the k largest cosines above 0 (ties: the first entries), and these."""
+        out = []
+        for s in self.cosines(some):
+            least = np.partition(s, len(s) - k)[len(s) - k] - 1e-11 if k < len(s) else 0.0
+            e = np.flatnonzero((s >= least) & (s > 0))
+            e = e[np.lexsort((e, -s[e].round(12)))[:k]]
+            out.append((e, s[e]))
+        return out
+
+    def nearest(self, counts, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([counts], k)[0]
+
+    def vote(self, e: np.ndarray, s: np.ndarray, leave: int | None = None, label: int = 0) -> float:
         """Weighted share of label 1 among the nearest. leave: an entry of which one example, of this label, is left out."""
-        e, s = self.nearest(counts)
         n, p = self.n[e].astype(float), self.positive[e].astype(float)
         if leave is not None:
             n, p = n - (e == leave), p - (e == leave) * label
-        w = np.maximum(s, 0) ** 4 * np.sqrt(n)
-        return float((w * p / np.maximum(n, 1)).sum() / max(w.sum(), 1e-12)) if len(e) else 0.0, e, s
+        w = s**4 * np.sqrt(n)
+        return float((w * p / np.maximum(n, 1)).sum() / w.sum()) if w.sum() > 0 else 0.0
 
     def score(self, vote: float) -> float:
         a, b = self.curve
@@ -149,36 +164,59 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) ->
 
 def _terms_task(batches):
     for batch in batches:
-        labels, found = [], []
-        for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = {t for w in set(_WORDS.findall(text or "")) for t in terms_of(w) if len(t) < 64}
-            labels.append(label)
-            found.append(list(words))
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["label", "terms"])
+        found = [list({x for w in set(_WORDS.findall(text or "")) if (x := term_of(w))}) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["label", "terms"])
 
 
-def vocabulary_of(examples: DataFrame, n_pos: int, n_neg: int, max_terms: int = MAX_TERMS) -> list[tuple[str, int]]:
-    """(term, number of examples that have it) of the terms that go with label 1, MAX_TERMS at most; the counts are made by Spark."""
+def vocabulary_of(examples: DataFrame, n_pos: int, n_neg: int) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples, ascending, and the lean of each."""
     counts = (
         examples.mapInArrow(_terms_task, "label int, terms array<string>")
         .select("label", F.explode("terms").alias("term"))
         .groupBy("term")
-        .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+        .agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+        .toArrow()  # terms of max_examples texts
+        .sort_by("term")
     )
-    total = n_pos + n_neg
-    e = (F.col("p") + F.col("q")) * F.lit(n_pos / total)
-    f = (F.col("p") + F.col("q")) * F.lit(n_neg / total)
-    g = 2 * (F.col("p") * F.log(F.col("p") / e) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / f)).otherwise(0))
-    rows = counts.where((F.col("p") >= 3) & (F.col("p") > 3 * e)).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(max_terms).collect()
-    return [(r.term, r.p + r.q) for r in rows]
+    p, n = (counts.column(c).to_numpy().astype(float) for c in ("p", "n"))
+    share = n_pos / (n_pos + n_neg)
+
+    def part(seen: np.ndarray, share: float) -> np.ndarray:
+        return seen * np.log(np.maximum(seen, 1) / np.maximum(n * share, 1e-300))
+
+    g = 2 * (part(p, share) + part(n - p, 1 - share)) if n_pos and n_neg else np.zeros(len(n))
+    return counts.column("term").to_pylist(), 1 + np.maximum(g, 0) / LEAN
+
+
+def _frequencies_task(vocabulary: dict[str, int]):
+    def task(batches):
+        terms, n = Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                found = {terms[w] for w in set(_WORDS.findall(text.as_py() or ""))}
+                found.discard(-1)
+                n[list(found)] += 1
+                n[-1] += 1  # documents
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["term", "n"])
+
+    return task
+
+
+def idf_of(texts: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """log(1 + documents / documents with the term), counted over all documents."""
+    sums = texts.select("text").mapInArrow(_frequencies_task(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(vocabulary) + 1)
+    n[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    return np.log1p(n[-1] / np.maximum(n[:-1], 1))
 
 
 def _counts_task(vocabulary: dict[str, int]):
     def task(batches):
         terms = Terms(vocabulary)
         for batch in batches:
-            found = [counted(t, terms) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "counts"])
+            found = [counted(t, terms).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "counts"])
 
     return task
 
@@ -192,52 +230,42 @@ def build_index(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EX
     n_pos, n_neg = sums.get(1, 0), sums.get(0, 0)
     if not n_pos + n_neg:
         return None
-    chosen = vocabulary_of(examples, n_pos, n_neg) if n_pos and n_neg else []
-    vocabulary = {t: i for i, (t, _) in enumerate(chosen)}
-    rows = examples.mapInArrow(_counts_task(vocabulary), "doc_id long, label int, terms array<int>, counts array<int>").collect()  # max_examples rows, vocabulary terms only
+    chosen, lean = vocabulary_of(examples, n_pos, n_neg)
+    vocabulary = {t: i for i, t in enumerate(chosen)}
+    rows = examples.mapInArrow(_counts_task(vocabulary), "doc_id long, label int, counts binary").collect()  # max_examples rows
     rows.sort(key=lambda r: r.doc_id)
-    entries: dict[tuple, list] = {}
+    entries: dict[bytes, list] = {}
     for r in rows:
-        x = entries.setdefault(tuple(zip(r.terms, r.counts, strict=True)), [r.doc_id, 0, 0])
+        x = entries.setdefault(bytes(r.counts), [r.doc_id, 0, 0])
         x[1] += 1
         x[2] += r.label
-    total = n_pos + n_neg
-    idf = np.array([*(math.log(1 + total / df) for _, df in chosen), math.log(2)])
-    index = Index(vocabulary, idf, [x[0] for x in entries.values()], np.array([x[1] for x in entries.values()]), np.array([x[2] for x in entries.values()]))
-    index.build(list(entries))
+    index = Index(vocabulary, idf_of(texts, vocabulary) * lean, [x[0] for x in entries.values()], np.array([x[1] for x in entries.values()]), np.array([x[2] for x in entries.values()]))
+    vectors = [np.frombuffer(c, "<i4").reshape(-1, 2) for c in entries]
+    index.build(vectors)
+    nearest = [x for i in range(0, len(vectors), AT_ONCE) for x in index.nearest_of(vectors[i : i + AT_ONCE])]
     position = {c: i for i, c in enumerate(entries)}
-    votes: dict[tuple, float] = {}
-    pairs = []
-    for r in rows:
-        c = tuple(zip(r.terms, r.counts, strict=True))
-        if (c, r.label) not in votes:
-            votes[c, r.label] = index.vote(c, position[c], r.label)[0]
-        pairs.append((votes[c, r.label], r.label))
-    index.curve = fitted_curve(np.array([v for v, _ in pairs]), np.array([y for _, y in pairs]))
+    own = [(position[bytes(r.counts)], r.label) for r in rows]
+    index.curve = fitted_curve(np.array([index.vote(*nearest[i], i, y) for i, y in own]), np.array([y for _, y in own]))
     return index
 
 
 def _score_task(index: Index | None):
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64())), ("evidence_cosine", pa.list_(pa.float64()))])
 
+    def scored(texts: pa.Array, terms: Terms) -> list[tuple]:
+        found = []
+        for e, s in index.nearest_of([counted(t, terms) for t in texts.to_pylist()]):
+            y = index.score(index.vote(e, s))
+            found.append((y, int(y >= 0.5), [index.ids[i] for i in e[:5]], s[:5].tolist()))
+        return found
+
     def task(batches):
-        terms, known = Terms(index.vocabulary) if index else None, {}
-        for batch in batches:
-            found: list[list] = [[], [], [], []]
-            for text in batch.column(1):
-                if index is None:
-                    x = (0.0, 0, [], [])
-                else:
-                    c = counted(text.as_py(), terms)
-                    if (x := known.get(c)) is None:
-                        vote, e, s = index.vote(c)
-                        y = index.score(vote)
-                        x = (y, int(y >= 0.5), [index.ids[i] for i in e[:5]], s[:5].tolist())
-                        if len(known) < CACHE:
-                            known[c] = x
-                for into, v in zip(found, x, strict=True):
-                    into.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((batch.column(0), *found), out, strict=True)], schema=out)
+        terms = Terms(index.vocabulary) if index else None
+        for whole in batches:
+            for first in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(first, AT_ONCE)
+                rows = scored(batch.column(1), terms) if index else [(0.0, 0, [], [])] * batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((batch.column(0), *zip(*rows, strict=True)), out, strict=True)], schema=out)
 
     return task
 
