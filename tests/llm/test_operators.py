@@ -117,6 +117,18 @@ def test_closed_syncmers(spark):
     assert 10 < len(a) < 36 and set(a) <= set(b) and {b[h] - a[h] for h in a} == {2}
 
 
+def test_fingerprints_of_long_texts(spark):
+    """Long texts keep all their anchors, so a passage that two of them share is found."""
+    rnd = random.Random(6)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    passage = prose(60)
+    df = spark.createDataFrame([(0, passage), (1, prose(2500) + " " + passage + " " + prose(2500)), (2, prose(4000) + " " + passage + " " + prose(1000))], "doc_id long, text string")
+    own, a, b = ({x.h for x in r.anchors} for r in fingerprints.fingerprint(df).orderBy("doc_id").collect())
+    assert len(own) > 15 and own <= a & b and min(len(a), len(b)) > 1500
+    by = {r.doc_id: r for r in fingerprints.edited_pairs(df).collect()}
+    assert by[1].near_next == len(a & b) / len(a | b) > 0 and by[1].edited_shift == 0
+
+
 # -- 3
 
 

@@ -2,10 +2,10 @@
 
 Words (lower case) are hashed; a k-mer of words is an anchor when the smallest of its inner s-mers stands at its first
 or last place. Whether a k-mer is an anchor depends on its own words alone, so equal passages have equal anchors
-wherever they stand. A fingerprint is the `size` smallest distinct anchor hashes, ascending, each with its first
-position (in words): `hash:position` in hexadecimal, joined by spaces. Likeness is the share of the `size` smallest
-anchors of both texts together that both have (a bottom-k estimate of the overlap), and `shift` the median difference
-of the positions of shared anchors.
+wherever they stand. A fingerprint is all distinct anchor hashes, ascending, each with its first position (in words):
+`hash:position` in hexadecimal, joined by spaces; it grows with the text. Likeness is the share of the anchors of both
+texts together that both have, and `shift` the median difference of the positions of shared anchors. `size`, where
+given, keeps the smallest hashes alone.
 
 A text with fewer words than k is one anchor, and one without any closed syncmer takes all its k-mers. Null and empty
 texts have an empty fingerprint; two empty fingerprints are alike (1.0), an empty one and another are not (0.0).
@@ -13,8 +13,8 @@ texts have an empty fingerprint; two empty fingerprints are alike (1.0), an empt
 Order. The next document of each is found over a table of ids alone: it is range-partitioned and sorted, numbered within
 partitions, and the partitions' row counts give the rest. Rows that share an id are ordered by a hash of their texts;
 rows equal in both are ordered arbitrarily, which no result can show. A null id comes first. Texts are shuffled once, by
-a hash of id and text, so that no id is hot; after that only the prefixes that the previous document needs move, with
-fingerprints.
+a hash of id and text, so that no id is hot; after that each moves once more, to the previous document, which takes its
+start and its anchors (these would weigh more than the text).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import GAP, offsets_by_part, tasks_for, written
 
-K, S, SIZE = 5, 2, 64
+K, S = 5, 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,7 +39,7 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def anchors(text: Column, k: int = K, s: int = S, size: int = SIZE) -> Column:
+def anchors(text: Column, k: int = K, s: int = S, size: int | None = None) -> Column:
     """The fingerprint as array<struct<h bigint, p int>>."""
 
     def combined(h: Column, i: Column, n: int) -> Column:
@@ -66,7 +66,8 @@ def anchors(text: Column, k: int = K, s: int = S, size: int = SIZE) -> Column:
         return F.when(n == 0, none).when(n < k, whole).otherwise(some)
 
     def smallest(found: Column) -> Column:
-        return F.slice(F.filter(found, lambda x, i: (i == 0) | (x["h"] != F.get(found, i - 1)["h"])), 1, size)
+        distinct = F.filter(found, lambda x, i: (i == 0) | (x["h"] != F.get(found, i - 1)["h"]))
+        return distinct if size is None else F.slice(distinct, 1, size)
 
     return let(word_hashes(text), lambda h: let(F.sort_array(kmers(h)), smallest))
 
@@ -75,19 +76,27 @@ def shown(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat(F.lower(F.lpad(F.hex(x["h"]), 16, "0")), F.lit(":"), F.lower(F.hex(x["p"])))), " ")
 
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     x, y = F.transform(a, lambda v: v["h"]), F.transform(b, lambda v: v["h"])
-    both = let(F.struct(x.alias("x"), y.alias("y")), lambda v: let(F.slice(F.sort_array(F.array_union(v["x"], v["y"])), 1, size), lambda u: F.size(F.array_intersect(F.array_intersect(u, v["x"]), v["y"])) / F.size(u)))
+    both = let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(a) + F.size(b) - n))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both)
 
 
 def shift(a: Column, b: Column) -> Column:
     """Median over shared anchors of the position in b less the position in a; null where none is shared."""
-    places = let(F.map_from_entries(b), lambda m: F.sort_array(F.filter(F.transform(a, lambda v: F.element_at(m, v["h"]) - v["p"]), lambda d: d.isNotNull())))
+
+    def of(found: Column, side: int) -> Column:
+        return F.transform(found, lambda v: F.struct(v["h"].alias("h"), F.lit(side).alias("side"), v["p"].alias("p")))
+
+    def differences(v: Column) -> Column:  # equal hashes stand side by side, that of a first
+        each = F.transform(v, lambda x, i: F.when((i > 0) & (F.get(v, i - 1)["h"] == x["h"]), x["p"] - F.get(v, i - 1)["p"]))
+        return F.sort_array(F.filter(each, lambda d: d.isNotNull()))
+
+    places = let(F.sort_array(F.concat(of(a, 0), of(b, 1))), differences)
     return let(places, lambda d: F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")))
 
 
-def fingerprint(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, k: int = K, s: int = S, size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, anchors and fingerprint of every row."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).select("doc_id", anchors(F.col("text"), k, s, size).alias("anchors")).withColumn("fingerprint", shown(F.col("anchors")))
@@ -116,11 +125,11 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
 
     joined = own.join(routes, (F.col("h") == F.col("of_h")) & one_row("copy", "of_copy"))
-    sent = joined.select("to_h", "to_copy", F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("start"), anchors(F.col("text")).alias("next_anchors"))
+    sent = joined.select("to_h", "to_copy", "need", F.col("text").alias("next_text"))
     full = own.join(sent, (F.col("h") == F.col("to_h")) & one_row("copy", "to_copy"))
     n = F.length("text")
-    edited = full.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_anchors", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("start")).alias("edited"))
-    marked = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("b"), F.col("next_anchors").alias("c"))
+    edited = full.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("need").cast("int"))).alias("edited"))
+    marked = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("b"), anchors(F.col("next_text")).alias("c"))
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("a")).alias("fingerprint"), shown(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), shift(F.col("a"), F.col("b")).alias("edited_shift"),
