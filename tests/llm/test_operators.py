@@ -416,18 +416,79 @@ def test_toxicity_counts_all_words(spark):
 
 def test_block_max_is_exact():
     rnd = random.Random(8)
-    entries = list({tuple(sorted((t, rnd.randrange(1, 4)) for t in rnd.sample(range(20), rnd.randrange(0, 6)))) for _ in range(500)})
-    index = toxicity.Index({}, np.array([rnd.uniform(0.5, 3) for _ in range(20)] + [0.7]), list(range(len(entries))), np.ones(len(entries)), np.zeros(len(entries)))
-    index.build(entries)
-    dense = np.zeros((len(entries), 21))
-    for e, c in enumerate(entries):
-        at, w = index.vector(c)
-        dense[e, at] = w
-    for c in entries[::9]:
-        at, w = index.vector(c)
-        cosine = dense[:, at] @ w
-        e, s = index.nearest(c, 7)
-        assert np.allclose(s, np.sort(cosine)[::-1][:7]) and np.allclose(cosine[e], s)
+    for n_terms, n_entries in ((20, 500), (400, 900), (5, 3)):
+        drawn = [tuple(sorted((t, rnd.randrange(1, 4)) for t in rnd.sample(range(n_terms), rnd.randrange(0, min(n_terms, 12))))) for _ in range(n_entries)]
+        entries = list(dict.fromkeys(drawn))
+        idf = np.array([rnd.uniform(0.5, 3) for _ in range(n_terms)] + [0.7])
+        index = toxicity.Index({}, idf, np.arange(len(entries)) * 3, np.ones(len(entries)), np.zeros(len(entries)))
+        order = index.build(entries)
+        assert sorted(order.tolist()) == list(range(len(entries))) and (index.ids == order * 3).all()
+        full = np.zeros((len(entries), n_terms + 1))
+        for e, c in enumerate(entries):
+            at, w = index.vector(c)
+            full[e, at] = w
+        asked = entries[::9]
+        for c, (e, s) in zip(asked, index.nearest_of(asked, 7), strict=True):
+            at, w = index.vector(c)
+            cosine = full[:, at] @ w
+            want = sorted(((-round(x, 12), i) for i, x in enumerate(cosine) if x > 0))[:7]
+            assert index.ids[e].tolist() == [3 * i for _, i in want] and np.allclose(s, [-x for x, _ in want])
+
+
+def test_toxicity_votes_and_curve(spark):
+    """Scores of whole texts against votes and a logistic curve computed anew, with equal examples, some of both labels."""
+    rnd = random.Random(12)
+    common, odd = [f"w{i}" for i in range(40)], ["snark", "grump", "bleh"]
+    texts = []
+    for i in range(160):
+        bad = i % 3 == 0
+        words = [rnd.choice(common) for _ in range(rnd.randrange(3, 15))] + ([rnd.choice(odd)] if bad and i % 5 else [])
+        texts.append((i, " ".join(words), int(bad)))
+    texts += [(160 + i, texts[i % 7][1], int(i % 2)) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string").repartition(3)
+    labelled = spark.createDataFrame([(i, y) for i, _, y in texts if i % 4], "doc_id long, label int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labelled).collect()}
+    learnt = [(i, Counter(t.split()), y) for i, t, y in texts if i % 4]
+    df = Counter(w for _, t, _ in texts for w in set(t.split()))
+    n, p = Counter(w for _, c, _ in learnt for w in c), Counter(w for _, c, y in learnt if y for w in c)
+    share = sum(y for *_, y in learnt) / len(learnt)
+    g = {w: 2 * sum(x * math.log(x / (n[w] * q)) for x, q in ((p[w], share), (n[w] - p[w], 1 - share)) if x) for w in n}
+    weight = {w: math.log(1 + len(texts) / df[w]) * (1 + max(g[w], 0) / 10) for w in n}
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in c.items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    entries = {}
+    for i, c, y in learnt:
+        x = entries.setdefault(tuple(sorted(c.items())), [i, vector(c), []])
+        x[2].append(y)
+    entries = list(entries.values())
+
+    def vote(c, leave=None):
+        mine = vector(c)
+        near = sorted(((-round(sum(x * v.get(w, 0) for w, x in mine.items()), 12), i, ys) for i, v, ys in entries))[: toxicity.K]
+        above = below = 0.0
+        for s, _, ys in near:
+            labels = list(ys)
+            if leave is not None and -s > 1 - 1e-9:
+                labels.remove(leave)
+            if s < 0 and labels:
+                above += s**4 * math.sqrt(len(labels)) * sum(labels) / len(labels)
+                below += s**4 * math.sqrt(len(labels))
+        return above / below if below else 0.0
+
+    a, b = toxicity.fitted_curve(np.array([vote(c, y) for _, c, y in learnt]), np.array([y for *_, y in learnt]))
+    for i, t, _ in texts:
+        want = 1 / (1 + math.exp(-(a * vote(Counter(t.split())) + b)))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(want >= 0.5), i
+    # the curve is the maximum of the smoothed likelihood: its gradient vanishes
+    votes, y = np.array([0.0, 0.1, 0.2, 0.6, 0.9, 0.95]), np.array([0, 0, 0, 1, 1, 0])
+    a, b = toxicity.fitted_curve(votes, y)
+    target = np.where(y == 1, 3 / 4, 1 / 6)
+    rest = 1 / (1 + np.exp(-(a * votes + b))) - target
+    assert abs((rest * votes).sum() + 1e-3 * a) < 1e-6 and abs(rest.sum() + 1e-3 * b) < 1e-6
 
 
 # -- 9

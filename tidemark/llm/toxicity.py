@@ -1,14 +1,20 @@
-"""Toxicity by nearest labelled examples: exact cosine of TF-IDF vectors over all words, by an inverted index.
+"""Toxicity by nearest labelled examples: exact cosine of TF-IDF vectors over all words, by a block-max inverted index.
 
 A term is a word in lower case without signs at its ends. All terms of the labelled examples are indexed. A term weighs
 (1 + log of its count) * IDF * lean: the IDF is of all documents, and lean = 1 + G / 10, where G is the G-test of the
 term against the labels, so that a word that goes with a label counts more but none is left out (lean 1 for all words
 finds far fewer toxic texts; see README). A word that no example has has no coordinate: it would lengthen a text's
 vector, which scales its cosines alike and changes no neighbour and no vote. Examples with equal counts are one entry of
-the index, with counts of both labels. Cosines of all entries are summed for a few texts at a time: the most frequent
-terms as one matrix product, the others by their postings; so the k nearest are exact. Neighbours vote with weight
-cosine^4 times the root of their count; a logistic curve, fitted on leave-one-out votes, turns votes into calibrated
-scores. Evidence: ids of the nearest examples.
+the index, with counts of both labels.
+
+Index. Entries that are alike stand side by side (spherical k-means) and are cut into blocks of BLOCK. For each term and
+block the index keeps the block's largest weight. What rare terms give to a cosine is summed from their postings; what
+frequent terms can give at most, from the block maxima. A few texts at a time score the blocks of their largest bounds,
+and then all blocks whose bound reaches the k-th cosine found so far; no other block can hold a nearer entry, so the k
+nearest are exact. Texts whose best blocks are the same are taken together; this and the clusters change speed alone.
+
+Neighbours vote with weight cosine^4 times the root of their count; a logistic curve, fitted on leave-one-out votes,
+turns votes into calibrated scores. Evidence: ids of the nearest examples.
 
 At most max_examples labelled rows are indexed, chosen by a hash of the id (a documented bound); every row is scored
 over its whole text. Null and empty texts, and texts without any word of an example, have no neighbours: their score is
@@ -31,10 +37,11 @@ from tidemark.llm.common import written
 
 MAX_EXAMPLES = 8000
 LEAN = 10.0
-K, AT_ONCE = 15, 64
-FREQUENT = 1024  # terms in the matrix; for speed alone
+K, AT_ONCE, SORTED = 15, 64, 2048
+FREQUENT = 1024  # terms with dense rows; for speed alone
+BLOCK, CLUSTERS = 16, 128
+SLACK = 1e-5  # more than single precision loses in a bound
 CACHE = 300_000
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -43,6 +50,15 @@ def term_of(word: str) -> str:
     return (word if word.isalnum() else _EDGES.sub("", word)).lower()
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """bytes.split() splits at just the six white-space characters."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def terms_of(text: str | None) -> set[str]:
+    return {t for w in set(words_of(text)) if (t := term_of(w.decode("utf-8", "surrogatepass")))}
+
+
 class Terms(dict):
     """Word -> index of its term, -1 where no example has it."""
 
@@ -50,8 +66,8 @@ class Terms(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> int:
-        out = self.vocabulary.get(term_of(word), -1)
+    def __missing__(self, word: bytes) -> int:
+        out = self.vocabulary.get(term_of(word.decode("utf-8", "surrogatepass")), -1)
         if len(self) < CACHE and len(word) < 64:
             self[word] = out
         return out
@@ -59,25 +75,40 @@ class Terms(dict):
 
 def counted(text: str | None, terms: Terms) -> np.ndarray:
     """(term, count) of each term, ascending."""
-    found = np.array([*map(terms.__getitem__, _WORDS.findall(text or ""))], np.int64)
+    found = np.array([*map(terms.__getitem__, words_of(text))], np.int64)
     return np.column_stack(np.unique(found[found >= 0], return_counts=True))
 
 
+def alike(matrix: np.ndarray, clusters: int = CLUSTERS, rounds: int = 8) -> np.ndarray:
+    """An order of rows in which like rows stand side by side."""
+    if len(matrix) <= clusters:
+        return np.arange(len(matrix))
+    centres = matrix[np.random.default_rng(0).choice(len(matrix), clusters, replace=False)]
+    for _ in range(rounds):
+        mine = (matrix @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, mine, matrix)
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return np.argsort(mine, kind="stable")
+
+
 @dataclass
 class Index:
-    """Inverted index of unit vectors."""
+    """Block-max inverted index of unit vectors. build() orders the entries anew."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray  # times lean
-    ids: list[int]  # of each entry, its smallest id
+    ids: np.ndarray  # of each entry, its smallest id
     n: np.ndarray
     positive: np.ndarray
     starts: np.ndarray = None  # of each term's postings
     docs: np.ndarray = None
     weights: np.ndarray = None
-    frequent: np.ndarray = None  # terms of the matrix
-    place: np.ndarray = None  # of each term in it, or -1
-    matrix: np.ndarray = field(default=None, repr=False)
+    frequent: np.ndarray = None  # terms with dense rows
+    place: np.ndarray = None  # of each term among them, or -1
+    edges: np.ndarray = None  # first entry of each block, and the end
+    most: np.ndarray = None  # (blocks, frequent): largest weights
+    dense: np.ndarray = field(default=None, repr=False)  # (entries, frequent)
     curve: tuple[float, float] = (1.0, 0.0)
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -85,49 +116,88 @@ class Index:
         w = (1 + np.log(c)) * self.idf[at]
         return at, w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def build(self, entries: list) -> None:
+    def build(self, entries: list) -> np.ndarray:
+        """entries: counts of each. Gives the order that the entries, ids, n and positive now have."""
         vectors = [self.vector(c) for c in entries]
         terms = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
-        order = np.argsort(terms, kind="stable")
-        self.docs = np.repeat(np.arange(len(entries)), [len(at) for at, _ in vectors])[order]
-        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
         df = np.bincount(terms, minlength=len(self.idf))
-        self.starts = np.concatenate([[0], np.cumsum(df)])
         self.frequent = np.argsort(-df, kind="stable")[:FREQUENT]
         self.frequent = self.frequent[df[self.frequent] > len(entries) / 64]
         self.place = np.full(len(self.idf), -1)
         self.place[self.frequent] = np.arange(len(self.frequent))
+        order = alike(self._dense(vectors).astype(np.float32))
+        vectors = [vectors[i] for i in order]
+        self.ids, self.n, self.positive = np.asarray(self.ids)[order], self.n[order], self.positive[order]
+        terms = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
+        by_term = np.argsort(terms, kind="stable")
+        self.docs = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])[by_term]
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[by_term]
+        self.starts = np.concatenate([[0], np.cumsum(df)])
+        self.edges = np.append(np.arange(0, len(vectors), BLOCK), len(vectors))
+        dense = self._dense(vectors)
+        self.most = np.maximum.reduceat(dense, self.edges[:-1], axis=0).astype(np.float32) if len(vectors) else np.zeros((0, len(self.frequent)), np.float32)
+        return order
+
+    def _dense(self, vectors: list) -> np.ndarray:
+        """(vectors, frequent terms)."""
+        at, w = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in vectors)]), np.concatenate([np.zeros(0), *(x for _, x in vectors)])
+        row = np.repeat(np.arange(len(vectors)), [len(x) for x, _ in vectors])
+        place, out = self.place[at], np.zeros((len(vectors), len(self.frequent)))
+        out[row[place >= 0], place[place >= 0]] = w[place >= 0]
+        return out
 
     def __getstate__(self):
-        return self.__dict__ | {"matrix": None}  # each worker fills its own
+        return self.__dict__ | {"dense": None}  # each worker fills its own
 
-    def cosines(self, some: list) -> np.ndarray:
-        """Of each text (its counts) with each entry."""
-        if self.matrix is None:
-            self.matrix = np.zeros((len(self.frequent), len(self.ids)))
+    def _filled(self) -> np.ndarray:
+        if self.dense is None:
+            self.dense = np.zeros((len(self.ids), len(self.frequent)))
             for k, t in enumerate(self.frequent):
                 mine = slice(self.starts[t], self.starts[t + 1])
-                self.matrix[k, self.docs[mine]] = self.weights[mine]
-        vectors, size = [self.vector(c) for c in some], len(self.ids)
+                self.dense[self.docs[mine], k] = self.weights[mine]
+        return self.dense
+
+    def _rare(self, vectors: list) -> np.ndarray:
+        """(texts, entries): what the other terms give to cosines."""
         at, w = np.concatenate([x for x, _ in vectors]), np.concatenate([x for _, x in vectors])
-        row = np.repeat(np.arange(len(some)), [len(x) for x, _ in vectors])
-        place = self.place[at]
-        left = np.zeros((len(some), len(self.frequent)))
-        left[row[place >= 0], place[place >= 0]] = w[place >= 0]
-        at, w, row = at[place < 0], w[place < 0], row[place < 0]
+        row = np.repeat(np.arange(len(vectors)), [len(x) for x, _ in vectors])
+        some, size = self.place[at] < 0, len(self.ids)
+        at, w, row = at[some], w[some], row[some]
         n = self.starts[at + 1] - self.starts[at]
         posting = np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)
-        rare = np.bincount(np.repeat(row * size, n) + self.docs[posting], np.repeat(w, n) * self.weights[posting], len(some) * size)
-        return left @ self.matrix + rare.reshape(len(some), size)
+        sums = np.bincount(np.repeat(row * size, n) + self.docs[posting], np.repeat(w, n) * self.weights[posting], len(vectors) * size)
+        return sums.reshape(len(vectors), size)
+
+    def home(self, some: list) -> np.ndarray:
+        """The block of the largest bound by frequent terms, to take like texts together."""
+        return (self._dense([self.vector(c) for c in some]).astype(np.float32) @ self.most.T).argmax(1)
 
     def nearest_of(self, some: list, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Exact: for each text, entries of the k largest cosines above 0 (ties: the first entries), and these."""
+        """Exact: for each text (its counts), entries of the k largest cosines above 0 (ties: smallest ids), and these."""
+        vectors, dense = [self.vector(c) for c in some], self._filled()
+        left, rare = self._dense(vectors), self._rare(vectors)
+        bound = left.astype(np.float32) @ self.most.T + np.maximum.reduceat(rare, self.edges[:-1], axis=1)
+
+        def scored(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            e = np.flatnonzero(np.repeat(blocks, np.diff(self.edges)))
+            return e, left @ dense[e].T + rare[:, e]
+
+        blocks = bound.shape[1]
+        first, tops = np.zeros(blocks, bool), min(blocks, -(-k // BLOCK) + 3)
+        first[np.argpartition(-bound, tops - 1, axis=1)[:, :tops]] = True
+        e, s = scored(first)
+        least = np.partition(s, len(e) - k, axis=1)[:, len(e) - k] if k < len(e) else np.zeros(len(some))
+        rest = (bound + SLACK >= least[:, None]) & (bound > 0)
+        rest = rest.any(0) & ~first
+        if rest.any():
+            more, s_more = scored(rest)
+            e, s = np.concatenate([e, more]), np.concatenate([s, s_more], axis=1)
         out = []
-        for s in self.cosines(some):
-            least = np.partition(s, len(s) - k)[len(s) - k] - 1e-11 if k < len(s) else 0.0
-            e = np.flatnonzero((s >= least) & (s > 0))
-            e = e[np.lexsort((e, -s[e].round(12)))[:k]]
-            out.append((e, s[e]))
+        for cosine in s:
+            least = np.partition(cosine, len(e) - k)[len(e) - k] - 1e-11 if k < len(e) else 0.0
+            at = np.flatnonzero((cosine >= least) & (cosine > 0))
+            at = at[np.lexsort((self.ids[e[at]], -cosine[at].round(12)))[:k]]
+            out.append((e[at], cosine[at]))
         return out
 
     def nearest(self, counts, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +234,7 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) ->
 
 def _terms_task(batches):
     for batch in batches:
-        found = [list({x for w in set(_WORDS.findall(text or "")) if (x := term_of(w))}) for text in batch.column(2).to_pylist()]
+        found = [list(terms_of(text)) for text in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["label", "terms"])
 
 
@@ -193,7 +263,7 @@ def _frequencies_task(vocabulary: dict[str, int]):
         terms, n = Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                found = {terms[w] for w in set(_WORDS.findall(text.as_py() or ""))}
+                found = {*map(terms.__getitem__, set(words_of(text.as_py())))}
                 found.discard(-1)
                 n[list(found)] += 1
                 n[-1] += 1  # documents
@@ -239,11 +309,12 @@ def build_index(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EX
         x = entries.setdefault(bytes(r.counts), [r.doc_id, 0, 0])
         x[1] += 1
         x[2] += r.label
-    index = Index(vocabulary, idf_of(texts, vocabulary) * lean, [x[0] for x in entries.values()], np.array([x[1] for x in entries.values()]), np.array([x[2] for x in entries.values()]))
+    index = Index(vocabulary, idf_of(texts, vocabulary) * lean, np.array([x[0] for x in entries.values()]), np.array([x[1] for x in entries.values()]), np.array([x[2] for x in entries.values()]))
     vectors = [np.frombuffer(c, "<i4").reshape(-1, 2) for c in entries]
-    index.build(vectors)
+    order = index.build(vectors)
+    vectors, found = [vectors[i] for i in order], list(entries)
     nearest = [x for i in range(0, len(vectors), AT_ONCE) for x in index.nearest_of(vectors[i : i + AT_ONCE])]
-    position = {c: i for i, c in enumerate(entries)}
+    position = {found[k]: i for i, k in enumerate(order)}
     own = [(position[bytes(r.counts)], r.label) for r in rows]
     index.curve = fitted_curve(np.array([index.vote(*nearest[i], i, y) for i, y in own]), np.array([y for _, y in own]))
     return index
@@ -253,17 +324,21 @@ def _score_task(index: Index | None):
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64())), ("evidence_cosine", pa.list_(pa.float64()))])
 
     def scored(texts: pa.Array, terms: Terms) -> list[tuple]:
-        found = []
-        for e, s in index.nearest_of([counted(t, terms) for t in texts.to_pylist()]):
-            y = index.score(index.vote(e, s))
-            found.append((y, int(y >= 0.5), [index.ids[i] for i in e[:5]], s[:5].tolist()))
+        counts = [counted(t, terms) for t in texts.to_pylist()]
+        homes = np.concatenate([index.home(counts[i : i + AT_ONCE]) for i in range(0, len(counts), AT_ONCE)])
+        order, found = np.argsort(homes, kind="stable"), [None] * len(counts)
+        for i in range(0, len(counts), AT_ONCE):
+            some = order[i : i + AT_ONCE].tolist()
+            for at, (e, s) in zip(some, index.nearest_of([counts[j] for j in some]), strict=True):
+                y = index.score(index.vote(e, s))
+                found[at] = (y, int(y >= 0.5), index.ids[e[:5]], s[:5])
         return found
 
     def task(batches):
         terms = Terms(index.vocabulary) if index else None
         for whole in batches:
-            for first in range(0, whole.num_rows, AT_ONCE):
-                batch = whole.slice(first, AT_ONCE)
+            for first in range(0, whole.num_rows, SORTED):
+                batch = whole.slice(first, SORTED)
                 rows = scored(batch.column(1), terms) if index else [(0.0, 0, [], [])] * batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((batch.column(0), *zip(*rows, strict=True)), out, strict=True)], schema=out)
 
