@@ -390,3 +390,117 @@ def test_stream_and_batch_agree(spark, tmp_path):
     query.stop()
     batch = summarize_stream(df, [S.sum("v"), S.count()], "time", "1 minute", "1 minute")
     assert sorted(spark.table("got").collect()) == sorted(batch.collect())
+
+
+def near(a, b, relative=1e-9):
+    return all(x == pytest.approx(y, rel=relative, abs=1e-12, nan_ok=True) for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("factor", [1, 40, 4000])
+def test_running_averages_over_many_buckets(spark, factor):
+    """Weights fade within a few rows (4000: within one), or hardly at all; long gaps, ties, nulls, and keys of their own."""
+    rnd = random.Random(factor)
+    rows, t = [], 0
+    for i in range(160):
+        t += rnd.choice([0, 1, 2, 5, 60, 900])
+        rows.append((t * SECOND, rnd.randrange(2), i, rnd.choice([None, 1.0, -2.5, 3.0, 8.0])))
+    frame = TimeSeriesFrame(spark.createDataFrame(rows, "time long, id int, seq int, x double").repartition(3), order_by="seq")
+    period = f"{20_000_000_000 // factor}ns"
+    s = [S.ewma("x", 0.3, period, "core").prefix("c"), S.ewma("x", 0.3, period).prefix("l"), S.ewma("x", 0.3, "constant").prefix("k"), S.exponential_smoothing("x", 0.3, 1.0, period, "current", "core").prefix("e"), S.exponential_smoothing("x", 0.3, 1.0, period, "linear", "convolution").prefix("p"), S.count("x")]
+    got = {r.seq: r for r in frame.add_summary_columns(s, "id").collect()}
+    whole = {r.id: r for r in frame.summarize(s[:2], "id").collect()}
+    unit, log = 20 / factor, math.log(0.7)
+    for i, (_, key, seq, _) in enumerate(rows):
+        some = [(u / SECOND / unit, x) for u, j, _, x in rows[: i + 1] if j == key and x is not None]
+        r = got[seq]
+        assert r.x_count == len(some)
+        if not some:
+            assert all(math.isnan(v) for v in (r.c_x_ewma, r.l_x_ewma, r.k_x_ewma, r.e_x_ema, r.p_x_ema))
+            continue
+        weights = [math.exp((some[-1][0] - u) * log) for u, _ in some]
+        total = sum(w * x for w, (_, x) in zip(weights, some))
+        constant = sum(0.7 ** (len(some) - 1 - k) * x for k, (_, x) in enumerate(some))
+        assert near((r.c_x_ewma, r.l_x_ewma, r.k_x_ewma), (total / sum(weights), total, constant), 1e-8), (seq, r)
+        assert near((r.e_x_ema, r.p_x_ema), (brute_ema(some, 0.3, 1.0, "current", "core")[-1], brute_ema(some, 0.3, 1.0, "linear", "convolution")[-1]), 1e-8), (seq, r)
+    for key, r in whole.items():
+        last = [s for *_, s, _ in rows if rows[s][1] == key][-1]
+        assert near((r.c_x_ewma, r.l_x_ewma), (got[last].c_x_ewma, got[last].l_x_ewma), 1e-8)
+    keyless = {r.seq: r for r in frame.add_summary_columns([s[0], S.count("x"), S.exponential_smoothing("x", 0.3, 1.0, period).prefix("e")]).collect()}
+    some = [(u / SECOND / unit, x) for u, _, _, x in rows if x is not None]
+    weights = [math.exp((some[-1][0] - u) * log) for u, _ in some]
+    assert near((keyless[159].c_x_ewma, keyless[159].e_x_ema), (sum(w * x for w, (_, x) in zip(weights, some)) / sum(weights), brute_ema(some, 0.3, 1.0, "current", "core")[-1]), 1e-8)
+
+
+@pytest.mark.parametrize("future", [False, True])
+@pytest.mark.parametrize("half", [2, 400])
+def test_window_averages_and_extremes(spark, future, half):
+    rnd = random.Random(half)
+    rows = [(rnd.randrange(-200, 500), rnd.randrange(2), i, rnd.choice([None, 1.0, -2.0, 7.5])) for i in range(140)]
+    frame = TimeSeriesFrame(spark.createDataFrame(rows, "time long, id int, seq int, x double"), order_by="seq")
+    window = (W.future_absolute_time if future else W.past_absolute_time)(30)
+    means = {r.seq: r for r in frame.summarize_windows(window, [S.ewma("x", 0.5, half, "core"), S.count("x")], "id").collect()}
+    extremes = {r.seq: r for r in frame.summarize_windows(window, [S.min("x"), S.max("x"), S.sum("x"), S.count()], "id", strategy="blocks").collect()}
+    keyless = {r.seq: r for r in frame.summarize_windows(window, [S.min("x"), S.max("x")]).collect()}
+    assert len(means) == len(extremes) == len(keyless) == len(rows)
+    for t, key, seq, _ in rows:
+        inside = [(u, x, j) for u, j, _, x in rows if (t <= u <= t + 30 if future else t - 30 <= u <= t)]
+        some = sorted((u, x) for u, x, j in inside if j == key and x is not None)
+        values = [x for _, x in some]
+        e = extremes[seq]
+        assert (e.x_min, e.x_max, e["count"]) == (min(values, default=None), max(values, default=None), sum(j == key for *_, j in inside)) and abs(e.x_sum - sum(values)) < 1e-9
+        assert keyless[seq].x_min == min((x for _, x, _ in inside if x is not None), default=None)
+        weights = [0.5 ** ((some[-1][0] - u) / half) for u, _ in some]
+        want = sum(w * x for w, (_, x) in zip(weights, some)) / sum(weights) if some else math.nan
+        assert near([means[seq].x_ewma], [want], 1e-8)
+
+
+def test_large_offsets(spark):
+    """Weighted moments and regressions keep their digits where values are large against their spread."""
+    x, y, w = [1e9 + k for k in range(5)], [2e9 + 2 * k + (0.5 if k == 3 else 0) for k in range(5)], [1.0, 2.0, 1.5, 0.5, 3.0]
+    frame = TimeSeriesFrame(spark.createDataFrame([(i, 0, *v) for i, v in enumerate(zip(x, y, w))], "time long, id int, x double, y double, w double"))
+    s = [S.weighted_covariance("x", "y", "w"), S.weighted_correlation("x", "y", "w"), S.weighted_mean("x", "w"), S.weighted_mean_test("x", "w"), S.linear_regression("y", ["x"], "w")]
+    a, b, c = np.array(x) - 1e9, np.array(y) - 2e9, np.array(w)
+    ma, mb, total = (c * a).sum() / c.sum(), (c * b).sum() / c.sum(), c.sum()
+    cov, va, vb = (c * (a - ma) * (b - mb)).sum(), (c * (a - ma) ** 2).sum(), (c * (b - mb) ** 2).sum()
+    want = [cov / (total - (c**2).sum() / total), cov / math.sqrt(va * vb), 1e9 + ma, math.sqrt(va * total / (total**2 - (c**2).sum())), math.sqrt(va / total), cov / va]
+    found = [frame.summarize(s, "id"), frame.summarize(s), frame.add_summary_columns(s, "id").filter("time = 4"), frame.summarize_windows(W.past_absolute_time(10), s, "id").filter("time = 4"), frame.summarize_cycles(s, "id").filter("time > 4").merge(frame.summarize(s, "id").cast({"id": "int"}))]
+    for f in found:
+        (r,) = f.collect()
+        got = [r.x_y_w_weightedCovariance, r.x_y_w_weightedCorrelation, r.x_w_weightedMean, r.x_w_weightedStandardDeviation, r.x_w_stddev, r.beta[0]]
+        assert near(got, want, 1e-6) and near([r.x_w_mean, r.intercept + r.beta[0] * (1e9 + ma)], [1e9 + ma, 2e9 + mb], 1e-9)
+
+
+def test_long_windows_of_nanoseconds(spark):
+    """Lengths whose buckets would pass the largest long."""
+    frame = TimeSeriesFrame(spark.createDataFrame([(-SECOND, 1.0), (1_700_000_000 * SECOND, 2.0)], "time long, v double"))
+    for length in ("1000 days", "7300 days", "100000 days"):
+        assert values(frame.summarize_windows(W.past_absolute_time(length), S.sum("v"), strategy="prefix"), "v_sum") == [1, 3 if length == "100000 days" else 2]
+        assert values(frame.summarize_windows(W.past_absolute_time(length), S.sum("v"), strategy="frame"), "v_sum")[0] == 1
+        found = frame.left_join(TimeSeriesFrame(frame.df.where("time < 0").withColumnRenamed("v", "r")), length)
+        assert values(found, "r") == [1, 1 if length == "100000 days" else None]
+
+
+def test_symmetric_join_takes_the_last_of_ties(spark):
+    rows = [(100, n) for n in range(50)]
+    one = TimeSeriesFrame(spark.createDataFrame(rows, "time long, a int").repartition(4), order_by="a")
+    two = TimeSeriesFrame(spark.createDataFrame(rows, "time long, b int").repartition(4), order_by="b")
+    got = one.symmetric_join(two, 10).df.collect()
+    assert sorted((r.a, r.b) for r in got) == sorted([(n, 49) for n in range(50)] + [(49, n) for n in range(50)])
+
+
+def test_window_batches_arrow_and_csv_times(spark, tmp_path):
+    frame = TimeSeriesFrame(spark.createDataFrame([(t, t % 2, float(t)) for t in range(40)], "time long, id int, v double"))
+
+    def sums(left, right, begins, ends):
+        total = np.concatenate([[0], np.cumsum(right["v"].to_numpy())])
+        return total[ends] - total[begins]
+
+    got = frame.summarize_window_batches(W.past_absolute_time(6), sums, {"s": "double"}, "id", max_size=3)
+    assert values(got, "s") == values(frame.summarize_windows(W.past_absolute_time(6), S.sum("v"), "id"), "v_sum")
+    import pyarrow as pa
+
+    for r in frame.summarize([S.arrow(["time", "v"], True)], "id").collect():
+        table = pa.ipc.open_file(r.arrow_bytes).read_all()
+        assert table.column("time").to_pylist() == list(range(r.id, 40, 2)) == [x.time for x in r["__baseRows"]]
+    (tmp_path / "t.csv").write_text("time,v\n2024-01-01 00:00:01,1\n")
+    assert read(spark).option("epoch_ms", True).csv(str(tmp_path / "t.csv")).first().time == 1_704_067_201_000

@@ -6,7 +6,10 @@ Floats are rounded to six places on both sides; NaN is shown as null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from tidemark.functions import windows as W
 from tidemark.functions.regression import regression
 from tidemark.functions.udf import udf
 from tidemark.sources import clocks
+from tidemark.sources.reader import read
 from tidemark.streaming.intervals import summarize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +115,25 @@ def symmetric_join(spark, sf_dir):
     return a.symmetric_join(b, DAY, "user_id", "click", "view").df.select("click_event_id", "view_event_id")
 
 
+@query("""WITH r AS (SELECT l_suppkey, l_shipdate, l_orderkey * 10 + l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT l_suppkey, l_shipdate, l_orderkey * 10 + l_linenumber AS line FROM lineitem WHERE l_returnflag = 'A'),
+rl AS (SELECT l_suppkey, l_shipdate, max(line) AS line FROM r GROUP BY ALL), al AS (SELECT l_suppkey, l_shipdate, max(line) AS line FROM a GROUP BY ALL)
+SELECT r.line AS r_line, CASE WHEN al.l_shipdate >= r.l_shipdate - INTERVAL 20 DAY THEN al.line END AS a_line FROM r ASOF LEFT JOIN al ON r.l_suppkey = al.l_suppkey AND r.l_shipdate >= al.l_shipdate
+UNION ALL
+SELECT CASE WHEN rl.l_shipdate >= a.l_shipdate - INTERVAL 20 DAY THEN rl.line END, a.line FROM a ASOF LEFT JOIN rl ON a.l_suppkey = rl.l_suppkey AND a.l_shipdate >= rl.l_shipdate""")
+def symmetric_join_ties(spark, sf_dir):
+    """Many rows of equal time: each side takes the other's last."""
+    lines = table(spark, sf_dir, "lineitem", "l_shipdate", ["l_orderkey", "l_linenumber"]).add_columns({"line": F.col("l_orderkey") * 10 + F.col("l_linenumber")})
+    r, a = (TimeSeriesFrame(lines.filter(F.col("l_returnflag") == k).df.select("time", "l_suppkey", "line"), order_by="line") for k in "RA")
+    return r.symmetric_join(a, "20 days", "l_suppkey", "r", "a").df.select("r_line", "a_line")
+
+
+@query("""SELECT ts AS time, event_type = 'click' AS "left", event_id FROM events WHERE event_type IN ('click', 'view')""")
+def merge_either(spark, sf_dir):
+    a, b = (events(spark, sf_dir, k).keep_columns("event_id", "value") for k in ("click", "view"))
+    found = a.merge_either(TimeSeriesFrame(b.df.drop("value"))).df
+    return found.select("time", F.col("left").isNotNull().alias("left"), F.coalesce("left.event_id", "right.event_id").alias("event_id"))
+
+
 # -- whole-table, cycle and interval summaries
 
 _BASIC = [S.count(), S.sum("value"), S.mean("value"), S.stddev("value"), S.variance("value"), S.min("value"), S.max("value"), S.skewness("value"), S.kurtosis("value")]
@@ -141,11 +164,11 @@ def cycle_sum(spark, sf_dir):
 
 @query(f"""SELECT {_O} AS time, round(avg(o_totalprice), 6) AS o_totalprice_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(o_totalprice) END, 6) AS o_totalprice_stddev,
 round(quantile_cont(o_totalprice, 0.25), 6) AS "o_totalprice_0.25quantile", round(quantile_cont(o_totalprice, 0.9), 6) AS "o_totalprice_0.9quantile",
-round(covar_pop(o_totalprice, o_custkey) / 1e6, 6) AS o_totalprice_o_custkey_covariance FROM orders GROUP BY ALL""")
+round(covar_pop(o_totalprice, o_custkey) / 1e6, 5) AS o_totalprice_o_custkey_covariance FROM orders GROUP BY ALL""")
 def cycle_moments(spark, sf_dir):
     s = [S.mean("o_totalprice"), S.stddev("o_totalprice"), S.quantile("o_totalprice", [0.25, 0.9]), S.covariance("o_totalprice", "o_custkey")]
     out = table(spark, sf_dir, "orders", "o_orderdate", "o_orderkey").summarize_cycles(s).df
-    return shown(out.withColumn("o_totalprice_o_custkey_covariance", F.col("o_totalprice_o_custkey_covariance") / 1e6))
+    return shown(out.withColumn("o_totalprice_o_custkey_covariance", F.round(F.col("o_totalprice_o_custkey_covariance") / 1e6, 5)))
 
 
 @query(f"SELECT {_O} AS time, count(*) AS n_rows, min(o_orderkey) AS first_order FROM orders GROUP BY ALL")
@@ -180,15 +203,23 @@ def cycle_udf_summary(spark, sf_dir):
     return shown(table(spark, sf_dir, "orders", "o_orderdate", "o_orderkey").summarize_cycles({("spread", "n"): spread("o_totalprice")}), 4)
 
 
+def _hours(spark, sf_dir) -> clocks.UniformClock:
+    """Hours from the day before the table's first row to the day after its last."""
+    first, last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    return clocks.uniform("1h", begin=first - timedelta(1), end=last + timedelta(2))
+
+
+_HOURS_SQL = "c AS (SELECT t, t + INTERVAL 1 HOUR AS n FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)) - INTERVAL 1 DAY, date_trunc('day', max(ts)) + INTERVAL 47 HOUR, INTERVAL 1 HOUR)) AS t FROM events))"
+
+
 def _interval(inclusion: str, rounding: str) -> None:
     before, after = (">=", "<") if inclusion == "begin" else (">", "<=")
-    sql = f"""WITH c AS (SELECT t, t + INTERVAL 1 HOUR AS n FROM generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-20 23:00:00', INTERVAL 1 HOUR) g(t))
+    sql = f"""WITH {_HOURS_SQL}
 SELECT {"c.n" if rounding == "end" else "c.t"} AS time, event_type, count(*) AS "count", round(sum(value), 6) AS value_sum
 FROM events e JOIN c ON e.ts {before} c.t AND e.ts {after} c.n GROUP BY ALL"""
 
     def run(spark, sf_dir):
-        clock = clocks.uniform("1h", begin="2024-01-02", end="2024-01-21")
-        return shown(events(spark, sf_dir).summarize_intervals(clock, [S.count(), S.sum("value")], "event_type", inclusion, rounding))
+        return shown(events(spark, sf_dir).summarize_intervals(_hours(spark, sf_dir), [S.count(), S.sum("value")], "event_type", inclusion, rounding))
 
     query(sql, f"interval_{inclusion}_{rounding}")(run)
 
@@ -198,6 +229,37 @@ for _i in ("begin", "end"):
         _interval(_i, _r)
 
 
+@query(f"""WITH {_HOURS_SQL} SELECT c.n AS time, user_id, count(*) AS n_rows, min(event_id) AS first_event FROM events e JOIN c ON e.ts >= c.t AND e.ts < c.n GROUP BY ALL""")
+def group_by_interval(spark, sf_dir):
+    found = events(spark, sf_dir).keep_columns("event_id", "user_id").group_by_interval(_hours(spark, sf_dir), "user_id").df
+    rows = F.col("rows")
+    return found.select("time", "user_id", F.size(rows).cast("long").alias("n_rows"), F.array_min(F.transform(rows, lambda r: r["event_id"])).alias("first_event"))
+
+
+@query("""SELECT user_id, count(value) AS n, round(sum(value), 6) AS total, round(sum(value) / count(value) + 1e-9, 6) AS value_mean FROM events GROUP BY user_id""")
+def summarize_state(spark, sf_dir):
+    """The sums and counts behind a mean, merged over event types afterwards."""
+    found = events(spark, sf_dir).summarize_state(S.mean("value"), ["user_id", "event_type"])
+    sums = found.groupBy("user_id").agg(F.sum("state_0").alias("total"), F.sum("state_1").alias("n"))
+    return shown(sums.select("user_id", "n", "total", (F.col("total") / F.col("n") + 1e-9).alias("value_mean")))
+
+
+@query("""SELECT date_trunc('day', l_shipdate::TIMESTAMP) AS time, count(*) AS n, round(sum(l_quantity), 4) AS quantity, round(min(l_extendedprice), 4) AS low FROM lineitem GROUP BY ALL""")
+def arrow_rows(spark, sf_dir):
+    """Groups as Arrow files, read again by a Python function."""
+    lines = table(spark, sf_dir, "lineitem", "l_shipdate", ["l_orderkey", "l_linenumber"]).keep_columns("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    found = lines.cast({"l_quantity": "double", "l_extendedprice": "double"}).summarize_cycles(S.arrow(["l_quantity", "l_extendedprice"])).df
+
+    @F.pandas_udf("n long, quantity double, low double")
+    def opened(files: pd.Series) -> pd.DataFrame:
+        import pyarrow as pa
+
+        tables = [pa.ipc.open_file(f).read_pandas() for f in files]
+        return pd.DataFrame({"n": [len(t) for t in tables], "quantity": [t.l_quantity.sum() for t in tables], "low": [t.l_extendedprice.min() for t in tables]})
+
+    return shown(found.select("time", opened("arrow_bytes").alias("x")).select("time", "x.*"), 4)
+
+
 @query("""WITH k AS (SELECT DISTINCT date_trunc('hour', ts) AS t FROM events WHERE event_type = 'signup'), c AS (SELECT t, lead(t) OVER (ORDER BY t) AS n FROM k)
 SELECT c.n AS time, count(*) AS "count" FROM events e JOIN c ON e.ts >= c.t AND e.ts < c.n GROUP BY ALL""")
 def interval_other_clock(spark, sf_dir):
@@ -244,6 +306,22 @@ _windowed("window_future_keyless", True, False, _window_sql(_SUMS_SQL, False, _F
 _windowed("window_past_frame", False, False, _window_sql(_SUMS_SQL, False, "INTERVAL 1 HOUR PRECEDING AND CURRENT ROW"), _SUMS, "1 hour", "frame")
 _windowed("window_extremes", False, True, _window_sql("min(value) OVER w AS value_min, max(value) OVER w AS value_max, round(quantile_cont(value, 0.5) OVER w, 6) AS \"value_0.5quantile\", round(CASE WHEN count(value) OVER w > 1 THEN stddev_samp(value) OVER w END, 6) AS value_stddev", True, "INTERVAL 7 DAY PRECEDING AND CURRENT ROW"), [S.min("value"), S.max("value"), S.quantile("value", 0.5), S.stddev("value")], "7 days")
 
+_windowed("window_minmax_blocks", False, True, _window_sql('count(*) OVER w AS "count", min(value) OVER w AS value_min, max(value) OVER w AS value_max', True, "INTERVAL 7 DAY PRECEDING AND CURRENT ROW"), [S.count(), S.min("value"), S.max("value")], "7 days", "blocks")
+_windowed("window_minmax_future", True, False, _window_sql("min(value) OVER w AS value_min, max(value) OVER w AS value_max", False, _FUTURE), [S.min("value"), S.max("value")])
+_windowed("window_prefix_keyed", False, True, _window_sql(_SUMS_SQL, True, "INTERVAL 7 DAY PRECEDING AND CURRENT ROW"), _SUMS, "7 days", "prefix")
+
+
+@query(_window_sql("round(sum(value) OVER w, 6) AS total, count(*) OVER w AS n", True, _PAST))
+def window_batches(spark, sf_dir):
+    """One Python call for many windows."""
+
+    def sums(left, right, begins, ends):
+        total = np.concatenate([[0.0], np.cumsum(right["value"].fillna(0).to_numpy())])
+        return total[ends] - total[begins], ends - begins
+
+    found = events(spark, sf_dir).keep_columns("event_id", "user_id", "value").summarize_window_batches(W.past_absolute_time(DAY), sums, {"total": "double", "n": "long"}, "user_id")
+    return shown(found.df.select("event_id", "total", "n"))
+
 
 @query(_window_sql("count(*) OVER w AS n_rows, round(coalesce(sum(value) OVER w, 0), 6) AS total", True, _PAST))
 def add_windows(spark, sf_dir):
@@ -372,12 +450,87 @@ def ema_halflife(spark, sf_dir):
     return shown(found.df.select("event_id", "value_ema"), 5)
 
 
+@query("""SELECT a.event_id, round(sum(b.value * 0.95 ** ((epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0)) / sum(0.95 ** ((epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0)) + 1e-8, 5) AS value_ewma
+FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 7 DAY AND a.ts GROUP BY a.event_id""")
+def ewma_window(spark, sf_dir):
+    """Moving averages in windows, as differences of prefix sums."""
+    found = events(spark, sf_dir).keep_columns("event_id", "user_id", "value").summarize_windows(W.past_absolute_time("7 days"), S.ewma("value", 0.05, "1d", "core"), "user_id")
+    return shown(found.df.select("event_id", (F.col("value_ewma") + 1e-8).alias("value_ewma")), 5)
+
+
+@query("""SELECT a.event_id, round(sum(b.value * 0.5 ** ((epoch_us(a.ts) - epoch_us(b.ts)) / 3600000000.0)) + 1e-8, 5) AS value_ewma
+FROM events a JOIN events b ON (b.ts, b.event_id) <= (a.ts, a.event_id) AND b.ts >= a.ts - INTERVAL 3 DAY GROUP BY a.event_id""")
+def ewma_keyless(spark, sf_dir):
+    """One series without a key, half of a weight gone in an hour: weights of three days ago are below 1e-21."""
+    found = events(spark, sf_dir).keep_columns("event_id", "value").add_summary_columns(S.ewma("value", 0.5, "1h"))
+    return shown(found.df.select("event_id", (F.col("value_ewma") + 1e-8).alias("value_ewma")), 5)
+
+
+@query("""WITH t AS (SELECT user_id, max(ts) AS last FROM events GROUP BY ALL)
+SELECT make_timestamp(0) AS time, e.user_id, round(sum(value * 0.95 ** ((epoch_us(last) - epoch_us(ts)) / 86400000000.0)) + 1e-8, 5) AS value_ewma FROM events e JOIN t ON e.user_id = t.user_id GROUP BY e.user_id""")
+def ewma_summary(spark, sf_dir):
+    return shown(events(spark, sf_dir).summarize(S.ewma("value"), "user_id").df.withColumn("value_ewma", F.col("value_ewma") + 1e-8), 5)
+
+
+def _ema(name: str, base: float, interpolation: str, convention: str, priming: float, summarizer) -> None:
+    """Step by step in SQL: e and a after each row, then the part of the first value."""
+    p, fade = "(e.d - f.d)", f"{base} ** (e.d - f.d)"
+    share = f"(({fade} - 1) / ({p} * ln({base})))"
+    between = {"previous": f"(1 - {fade}) * f.value", "current": f"(1 - {fade}) * e.value", "linear": f"CASE WHEN {p} = 0 THEN 0 ELSE ({share} - {fade}) * f.value + (1 - {share}) * e.value END"}[interpolation]
+    primed = "d0" if convention == "legacy" else str(priming)
+    start = {"previous": "0", "current": f"(1 - {base} ** {primed})", "linear": f"(1 - ({base} ** {primed} - 1) / ({primed} * ln({base})))"}[interpolation]
+    value = f"{base} ** (d - d0) * {start} * x0 + ema"
+    if convention == "core":
+        value = f"({value}) / ({base} ** (d - d0) * {start} + a)"
+    sql = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, value, epoch_us(ts) / 86400000000.0 AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT event_id, user_id, value, d, k, 0.0::DOUBLE AS ema, 0.0::DOUBLE AS a, value AS x0, d AS d0 FROM e WHERE k = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.value, e.d, e.k, f.ema * {fade} + {between}, f.a * {fade} + 1 - {fade}, f.x0, f.d0 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, round({value} + 1e-8, 5) AS value_ema FROM f"""
+
+    def run(spark, sf_dir):
+        found = events(spark, sf_dir).keep_columns("event_id", "user_id", "value").add_summary_columns(summarizer, "user_id")
+        return shown(found.df.select("event_id", (F.col("value_ema") + 1e-8).alias("value_ema")), 5)
+
+    query(sql, name)(run)
+
+
+_ema("ema_legacy", 0.5, "current", "legacy", 0.0, S.ema_half_life("value", "1d", "current"))
+_ema("smoothing_core", 0.95, "current", "core", 1.0, S.exponential_smoothing("value"))
+_ema("smoothing_previous", 0.95, "previous", "convolution", 1.0, S.exponential_smoothing("value", interpolation="previous", convention="convolution"))
+_ema("smoothing_linear", 0.95, "linear", "core", 1.0, S.exponential_smoothing("value", interpolation="linear"))
+
+
 @query("""SELECT l_returnflag, count(*) AS samples, round(regr_slope(l_extendedprice, l_quantity), 4) AS beta, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS "rSquared" FROM lineitem GROUP BY l_returnflag""")
 def ols_simple(spark, sf_dir):
     found = table(spark, sf_dir, "lineitem", "l_shipdate", ["l_orderkey", "l_linenumber"]).summarize(S.linear_regression("l_extendedprice", ["l_quantity"]), "l_returnflag").df
     return found.select("l_returnflag", "samples", F.round(F.col("beta")[0], 4).alias("beta"), F.round("intercept", 3).alias("intercept"), F.round("rSquared", 6).alias("rSquared"))
 
 
+_C = """WITH l AS (SELECT l_returnflag AS g, 1e8 + l_quantity::DOUBLE AS x, 10 * l_discount::DOUBLE AS z, l_extendedprice::DOUBLE / 100 AS y, 1 + l_tax::DOUBLE AS w FROM lineitem),
+m AS (SELECT g, sum(w * (x - 1e8)) / sum(w) AS mx, sum(w * z) / sum(w) AS mz, sum(w * y) / sum(w) AS my FROM l GROUP BY g),
+s AS (SELECT l.g, count(*) AS n, any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my, sum(w * (x - 1e8 - mx) ** 2) AS xx, sum(w * (z - mz) ** 2) AS zz, sum(w * (x - 1e8 - mx) * (z - mz)) AS xz, sum(w * (x - 1e8 - mx) * (y - my)) AS xy, sum(w * (z - mz) * (y - my)) AS zy, sum(w * (y - my) ** 2) AS yy FROM l JOIN m ON l.g = m.g GROUP BY l.g),
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM s)"""
+
+
+@query(_C + """ SELECT g AS l_returnflag, n AS samples, round(b1, 5) AS b1, round(b2, 4) AS b2, round(my - b1 * mx - b2 * mz, 3) AS at_offset, round((b1 * xy + b2 * zy) / yy, 6) AS r2, round(sqrt((yy - b1 * xy - b2 * zy) / (n - 3) * zz / (xx * zz - xz * xz)), 5) AS error1 FROM b""")
+def ols_weighted(spark, sf_dir):
+    """Two regressors and a weight; one regressor is large against its spread."""
+    columns = {"x": 1e8 + F.col("l_quantity").cast("double"), "z": 10 * F.col("l_discount").cast("double"), "y": F.col("l_extendedprice").cast("double") / 100, "w": 1 + F.col("l_tax").cast("double")}
+    found = table(spark, sf_dir, "lineitem", "l_shipdate", ["l_orderkey", "l_linenumber"]).add_columns(columns).summarize(S.linear_regression("y", ["x", "z"], "w"), "l_returnflag").df
+    b = F.col("beta")
+    out = found.select("l_returnflag", "samples", F.round(b[0], 5).alias("b1"), F.round(b[1], 4).alias("b2"), F.round(F.col("intercept") + 1e8 * b[0], 3).alias("at_offset"), F.round("rSquared", 6).alias("r2"), F.round(F.col("stdErr_beta")[0], 5).alias("error1"))
+    return out
+
+
+@query("""WITH s AS (SELECT l_returnflag, sum(w) AS w, sum(w * x) / sum(w) AS m, count(*) AS n FROM (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS x, 1 + l_discount::DOUBLE AS w FROM lineitem) GROUP BY l_returnflag),
+v AS (SELECT l.l_returnflag, sqrt(sum((1 + l_discount::DOUBLE) * (l_quantity::DOUBLE - m) ** 2) / any_value(w)) AS sd, any_value(m) AS m, any_value(n) AS n FROM lineitem l JOIN s ON l.l_returnflag = s.l_returnflag GROUP BY l.l_returnflag)
+SELECT make_timestamp(0) AS time, l_returnflag, round(m, 6) AS x_w_mean, round(sd, 6) AS x_w_stddev, round(sqrt(n) * m / sd, 3) AS "x_w_tStat", n AS x_w_count FROM v""")
+def weighted_mean_test(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", "l_shipdate", ["l_orderkey", "l_linenumber"]).add_columns({"x": F.col("l_quantity").cast("double"), "w": 1 + F.col("l_discount").cast("double")})
+    found = lines.summarize(S.weighted_mean_test("x", "w"), "l_returnflag").df
+    return shown(found.withColumn("x_w_tStat", F.round("x_w_tStat", 3)))
+
+
 @query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxx(l_extendedprice, l_quantity) AS sxx, count(*) AS n FROM lineitem)
 SELECT n, round(b, 4) AS slope, round(a, 3) AS intercept, round(r2, 6) AS r_squared, round(sqrt(syy * (1 - r2) / (n - 2) / sxx), 4) AS slope_error FROM m""")
 def regression_model(spark, sf_dir):
@@ -412,6 +565,71 @@ def rowwise(spark, sf_dir):
     return clicks.rename_columns({"value": "amount"}).cast({"amount": "float"}).cast({"amount": "double"}).keep_columns("event_id", "amount").df
 
 
+@query("SELECT ts AS time, event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-12'")
+def reader_parquet(spark, sf_dir):
+    """A range widened at both ends; the filter and the columns reach the scan."""
+    found = read(spark).options(time_column="ts", columns="event_id,value").range("2024-01-05", "2024-01-11").expand("1 day", "1 day").parquet(f"{sf_dir}/events.parquet")
+    return found.df
+
+
+@query("SELECT t AS time FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 20 MINUTE) g(t)")
+def reader_clock(spark, sf_dir):
+    return read(spark).range("2024-01-01", "2024-02-01").clock("uniform", "20m", kind="timestamp_ntz").df
+
+
+@query("SELECT TRUE AS starts_at_begin, TRUE AS inside, TRUE AS whole_micros, 0 AS wide_gaps, TRUE AS about_as_many")
+def random_clock(spark, sf_dir):
+    """Gaps are random, so only what holds for all of them is shown."""
+    from pyspark.sql import Window
+
+    ticks = clocks.random_frame(spark, "1h", begin="2024-01-01", end="2024-04-01", seed=3, kind="long")
+    part = ticks.withColumn("day", F.floor(F.col("time") / 86_400_000_000_000))
+    gaps = part.withColumn("gap", F.col("time") - F.lag("time").over(Window.partitionBy("day").orderBy("time")))
+    first, last = 1_704_067_200_000_000_000, 1_711_929_600_000_000_000
+    n = F.count("*")
+    return gaps.agg(
+        (F.min("time") == first).alias("starts_at_begin"), (F.max("time") <= last).alias("inside"), F.every(F.col("time") % 1000 == 0).alias("whole_micros"),
+        F.count(F.when((F.col("gap") > 3_600_000_000_000) | (F.col("gap") < 0), 1)).cast("int").alias("wide_gaps"), ((n > 4000) & (n < 4800)).alias("about_as_many"),
+    )
+
+
+@query("SELECT ts + to_microseconds(user_id) AS time, event_id, value * 2 AS twice, event_type FROM events WHERE event_type <> 'view' AND user_id % 2 = 0")
+def row_functions(spark, sf_dir):
+    """Python functions of rows, and a new time for each."""
+    found = events(spark, sf_dir).delete_rows(F.col("event_type") == "view").keep_rows(lambda r: r.user_id % 2 == 0)
+    found = found.add_columns({"twice": ("double", lambda r: None if r.value is None else r.value * 2)}).set_time(F.col("time") + F.make_dt_interval(secs=F.col("user_id") / 1_000_000))
+    return found.delete_columns("user_id", "value", "props").df
+
+
+@query(f"SELECT {_O} AS time, o_orderkey, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_orderdate) AS n FROM orders")
+def cycle_row_dicts(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderdate", "o_orderkey").keep_columns("o_orderkey")
+    return orders.add_columns_for_cycle({"place": ("long", lambda rows: dict(enumerate(range(len(rows))))), "n": ("long", lambda rows: [len(rows)] * len(rows))}).df
+
+
+@query("""(SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'signup') EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90""")
+def set_operations(spark, sf_dir):
+    of = lambda *kinds: events(spark, sf_dir, *kinds)
+    return of("click").select("user_id").intersect(of("signup").select("user_id")).subtract(of("purchase").where("value > 90").select("user_id"))
+
+
+@query("SELECT ts AS time, event_id, value FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 25")
+def top_values(spark, sf_dir):
+    return events(spark, sf_dir).keep_columns("event_id", "value").orderBy(F.col("value").desc_nulls_last(), "event_id").limit(25).df
+
+
+@query("SELECT ts - INTERVAL 1 DAY AS time, event_id FROM events UNION ALL SELECT ts + INTERVAL 2 DAY, event_id FROM events")
+def look_clocks(spark, sf_dir):
+    base = events(spark, sf_dir).keep_columns("event_id")
+    return base.look_back_clock("1 day").merge(base.look_forward_clock("2 days")).df
+
+
+@query("SELECT e.event_id, u.n FROM events e JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) u ON e.user_id = u.user_id WHERE event_type = 'purchase'")
+def equi_join(spark, sf_dir):
+    base = events(spark, sf_dir)
+    return base.filter("event_type = 'purchase'").join(base.group_by("user_id").agg(F.count("*").alias("n")), "user_id").select("event_id", "n")
+
+
 @query("SELECT t AS time FROM generate_series(TIMESTAMP '2024-01-01 00:05:00', TIMESTAMP '2024-03-01', INTERVAL 15 MINUTE) g(t)")
 def uniform_clock(spark, sf_dir):
     return clocks.uniform_frame(spark, "15m", "5m", "2024-01-01", "2024-03-01", kind="timestamp_ntz")

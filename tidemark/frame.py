@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.group import GroupedData
 
 from tidemark.functions import summarizers as S
@@ -211,7 +212,7 @@ class TimeSeriesFrame:
         return self._with(joins.as_of(self.df, right.df, self.time, _listed(key), tolerance, True, strict_lookahead, left_alias, right_alias, right.order_by, right.time))
 
     def symmetric_join(self, right: TimeSeriesFrame, tolerance="0ns", key=None, left_alias: str | None = None, right_alias: str | None = None) -> TimeSeriesFrame:
-        return self._with(joins.symmetric(self.df, right.df, self.time, _listed(key), tolerance, left_alias, right_alias))
+        return self._with(joins.symmetric(self.df, right.df, self.time, _listed(key), tolerance, left_alias, right_alias, self.order_by, right.order_by))
 
     def merge(self, other: TimeSeriesFrame) -> TimeSeriesFrame:
         return self._with(joins.merge(self.df, other.df))
@@ -261,12 +262,20 @@ class TimeSeriesFrame:
             for _, b in U.outputs_of(summarizer):
                 if len(b.arguments) != 1:
                     raise ValueError("a window function takes one argument: a column or a list of columns")
-            reach = length_in_ticks(window.length, time_type(self.df, self.time))
+            reach = buckets.reach_of(length_in_ticks(window.length, time_type(self.df, self.time)))
             dealt = buckets.repeated(aggregate.prepared(self.df, self.time), aggregate.TICKS, buckets.width_for(reach, factor), reach, window.future, "__own")
             low, high = (0, reach) if window.future else (-reach, 0)
             return self._with(U.windowed(dealt, [*_listed(key), buckets.BUCKET], aggregate.TICKS, "__own", low, high, summarizer, [aggregate.TICKS, "__own", buckets.BUCKET], list(self.order_by)))
         return self._with(aggregate.windows(self.df, summarizer, self.time, window, _listed(key), self.order_by, strategy, factor))
 
+    def summarize_window_batches(self, window: TimeWindow, fn: Callable, outputs: dict, key=None, max_size: int = 500_000, factor: int = buckets.FACTOR) -> TimeSeriesFrame:
+        """Window functions that see many windows at once: fn(left, right, begins, ends), see udf.window_batches. outputs: name -> type."""
+        reach = buckets.reach_of(length_in_ticks(window.length, time_type(self.df, self.time)))
+        dealt = buckets.repeated(aggregate.prepared(self.df, self.time), aggregate.TICKS, buckets.width_for(reach, factor), reach, window.future, "__own")
+        low, high = (0, reach) if window.future else (-reach, 0)
+        fields = [T.StructField(n, U._type(t)) for n, t in outputs.items()]
+        return self._with(U.window_batches(dealt, [*_listed(key), buckets.BUCKET], aggregate.TICKS, "__own", low, high, fn, fields, [aggregate.TICKS, "__own", buckets.BUCKET], list(self.order_by), max_size))
+
     def add_windows(self, window: TimeWindow, key=None) -> TimeSeriesFrame:
         return self.summarize_windows(window, S.rows(window.name), key)
 

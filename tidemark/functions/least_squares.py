@@ -25,7 +25,8 @@ def unpacked(sums: np.ndarray, k: int, n_x: int) -> tuple:
 
 
 def solve(sums: np.ndarray, xs: list[str], intercept: bool, ignore_const: bool, bound: float) -> dict:
-    gram, xy, spread, (yy, w, log_w, wy, n) = unpacked(sums, len(xs) + intercept, len(xs))
+    """With an intercept, sums are of differences from centres (of each x, and y); results are as if they weren't."""
+    gram, xy, spread, (yy, w, log_w, wy, n, *centres) = unpacked(sums, len(xs) + intercept, len(xs))
     nan = float("nan")
     const = [i for i in range(len(xs)) if n * spread[i] < bound]
     out = {
@@ -45,7 +46,17 @@ def solve(sums: np.ndarray, xs: list[str], intercept: bool, ignore_const: bool,
         return out
     inverse = np.linalg.inv(a)
     beta = inverse @ b
-    rss = max(0.0, yy - 2 * beta @ b + beta @ a @ beta)
+    rss = max(0.0, yy - 2 * beta @ b + beta @ a @ beta)  # of centred sums
+    used_x = [x - intercept for x in used if x >= intercept]
+    if intercept:  # back to what isn't centred
+        shift = np.array([centres[i] for i in used_x])
+        back = np.eye(k)
+        back[0, 1:] = -shift
+        forth = np.eye(k)
+        forth[1:, 0] = shift
+        beta, inverse = back @ beta, back @ inverse @ back.T
+        beta[0] += centres[-1]
+        values = np.linalg.eigvalsh(forth @ a @ forth.T)
     with np.errstate(all="ignore"):
         se = np.sqrt(np.maximum(rss / (n - k) * np.diag(inverse), 0))
         t = beta / se

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import least_squares
+from tidemark.functions.udf import arrow_file
 from tidemark.functions.time import nanos
 from tidemark.plans.state import Rows, State
 
@@ -291,8 +292,9 @@ def correlation(columns: str | Sequence[str], other: str | Sequence[str] | None
 
 
 def _weighted_parts(r: Rows, x: str, y: str, w: str) -> tuple[Column, ...]:
-    """W, sum of w^2, and the weighted sums of dx dy, dx^2, dy^2."""
+    """W, sum of w^2, and the weighted sums of dx dy, dx^2, dy^2; products are of differences from centres."""
     x, y, w = _d(x), _d(y), _d(w)
+    x, y = x - r.centre(x), y - r.centre(y)
     total, squares, wx, wy = r.sum(w), r.sum(w * w), r.sum(w * x), r.sum(w * y)
 
     def centred(a, b, wa, wb):
@@ -301,6 +303,11 @@ def _weighted_parts(r: Rows, x: str, y: str, w: str) -> tuple[Column, ...]:
     return total, squares, centred(x, y, wx, wy), F.greatest(centred(x, x, wx, wx), F.lit(0.0)), F.greatest(centred(y, y, wy, wy), F.lit(0.0))
 
 
+def _middle(r: Rows, centre: Column) -> Column:
+    """A centre as an aggregate: it is the same in all rows of a group (or of a window's partition)."""
+    return F.coalesce(r.max(centre), F.lit(0.0))
+
+
 def weighted_covariance(x: str, y: str, w: str) -> Summarizer:
     def body(r):
         total, squares, xy, _, _ = _weighted_parts(r, x, y, w)
@@ -323,9 +330,12 @@ def weighted_mean(value: str, weight: str) -> Summarizer:
     def body(r):
         w, v = F.abs(_d(weight)), _d(value) * F.signum(_d(weight))
         some = Rows(r.state, (r.good if r.good is not None else F.lit(True)) & (_d(weight) != 0))
-        total, squares, wv, n = some.sum(w), some.sum(w * w), some.sum(w * v), some.count()
-        average = F.try_divide(wv, total)
-        spread = F.greatest(some.sum(w * v * v) - F.coalesce(average, F.lit(0.0)) * wv, F.lit(0.0))
+        centre = some.centre(v)
+        dv = v - centre
+        total, squares, wv, n = some.sum(w), some.sum(w * w), some.sum(w * dv), some.count()
+        off = F.try_divide(wv, total)
+        average = _middle(some, centre) + off
+        spread = F.greatest(some.sum(w * dv * dv) - F.coalesce(off, F.lit(0.0)) * wv, F.lit(0.0))
         var = F.try_divide(spread * total, total * total - squares)
         sd = _root(F.coalesce(var, F.lit(NAN)))
         t = F.when(n == 0, F.lit(NAN)).otherwise(_root(F.coalesce(F.try_divide(total * total, squares), F.lit(NAN))) * _ratio(average, sd))
@@ -340,9 +350,12 @@ def weighted_mean_test(value: str, weight: str) -> Summarizer:
 
     def body(r):
         w, v = _d(weight), _d(value)
-        total, wv, n = r.sum(w), r.sum(w * v), r.count()
-        average = F.try_divide(wv, total)
-        sd = _root(F.greatest(F.coalesce(F.try_divide(r.sum(w * v * v), total) - average * average, F.lit(NAN)), F.lit(0.0)))
+        centre = r.centre(v)
+        dv = v - centre
+        total, wv, n = r.sum(w), r.sum(w * dv), r.count()
+        off = F.try_divide(wv, total)
+        average = _middle(r, centre) + off
+        sd = _root(F.greatest(F.coalesce(F.try_divide(r.sum(w * dv * dv), total) - off * off, F.lit(NAN)), F.lit(0.0)))
         name = f"{value}_{weight}"
         return [(f"{name}_mean", _nan(average)), (f"{name}_stddev", _nan(sd)), (f"{name}_tStat", F.sqrt(n.cast("double")) * _ratio(average, sd)), (f"{name}_count", n)]
 
@@ -367,6 +380,17 @@ def rows(column: str = "rows") -> Summarizer:
     return Custom(fn)
 
 
+def arrow(columns: Sequence[str], include_base_rows: bool = False) -> Summarizer:
+    """A group's rows of these columns, in order, as the bytes of an Arrow file; with include_base_rows also as structs."""
+
+    def fn(state: State):
+        found = Rows(state, state.condition).ordered(F.struct(*[F.col(c) for c in columns]), names=("row",))
+        rows = F.transform(found, lambda v: v["row"])
+        return [*([("__baseRows", rows)] if include_base_rows else []), ("arrow_bytes", arrow_file(rows))]
+
+    return Custom(fn)
+
+
 def lag_sum(column: str, lookback) -> Summarizer:
     """Sum over the window and over the stretch of `lookback` before it; for summarize_windows only."""
     return LagSum(column, nanos(lookback))
@@ -404,9 +428,23 @@ def exponential_smoothing(column: str, alpha: float = 0.05, priming_periods: flo
             v = (i - d) * a + (1 - i) * b
         return F.when(p == 0, F.lit(0.0)).otherwise(v)
 
+    def finished(e: Column, a: Column, t: Column, first: Column, scale: float) -> Column:
+        """e, a: decayed sums as of the last row, at t; first: struct<p, x> of the first row."""
+        primed = first["p"].cast("double") * scale if convention == "legacy" else F.lit(float(priming_periods))
+        fade = decay(F.greatest((t - first["p"]).cast("double") * scale, F.lit(0.0)))
+        e = fade * between(F.lit(0.0), first["x"], primed) + e
+        return _ratio(e, fade * between(F.lit(0.0), F.lit(1.0), primed) + a) if convention == "core" else e
+
     def body(r):
         scale = r.state.nanos_per_tick / unit
         one = F.lit(1.0)
+        if r.state.scan:  # running: what each row adds, decayed
+            x = _d(column)
+            prior, first = r.state.scan.neighbours(r.good, x)
+            p = (r.state.ticks - prior["p"]).cast("double") * scale
+            added = [F.when(prior.isNull(), 0.0).otherwise(v) for v in (between(prior["x"], x, p), between(one, one, p))]
+            (e, a), last = r.state.scan.decayed(r.good, -log_decay * scale, added)
+            return [(f"{column}_ema", F.when(last.isNull(), F.lit(NAN)).otherwise(finished(e, a, last, first, scale)))]
         fields = ("n", "e", "a", "x", "t", "x0", "t0")
 
         def made(*v):
@@ -422,11 +460,8 @@ def exponential_smoothing(column: str, alpha: float = 0.05, priming_periods: flo
             return made(s["n"] + 1, e, a, v["x"], v["t"], F.when(first, v["x"]).otherwise(s["x0"]), F.when(first, v["t"]).otherwise(s["t0"]))
 
         def finish(s):
-            primed = s["t0"].cast("double") * scale if convention == "legacy" else F.lit(float(priming_periods))
-            p = F.greatest((s["t"] - s["t0"]).cast("double") * scale, F.lit(0.0))
-            e = decay(p) * between(F.lit(0.0), s["x0"], primed) + s["e"]
-            a = decay(p) * between(F.lit(0.0), one, primed) + s["a"]
-            return F.when(s["n"] == 0, F.lit(NAN)).otherwise(_ratio(e, a) if convention == "core" else e)
+            first = F.struct(s["t0"].alias("p"), s["x0"].alias("x"))
+            return F.when(s["n"] == 0, F.lit(NAN)).otherwise(finished(s["e"], s["a"], s["t"], first, scale))
 
         return [(f"{column}_ema", F.aggregate(r.ordered(_d(column), names=("x",)), zero, step, finish))]
 
@@ -443,22 +478,33 @@ def ewma(column: str, alpha: float = 0.05, duration_per_period="1d", convention:
         raise ValueError("convention: core, legacy")
     log_decay = math.log(1 - alpha)
 
-    def body(r):
-        def weighed(values: Column) -> Column:
-            n = F.size(values)
-
-            def periods(v, i):
-                if duration_per_period == "constant":
-                    return (n - 1 - i).cast("double")
-                return (F.get(values, n - 1)["t"] - v["t"]).cast("double") * (r.state.nanos_per_tick / float(nanos(duration_per_period)))
+    constant = duration_per_period == "constant"
 
-            weighted = F.transform(values, lambda v, i: F.struct((F.exp(periods(v, i) * log_decay)).alias("w"), v["x"].alias("x")))
-            zero = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("a"))
-            total = F.aggregate(weighted, zero, lambda s, v: F.struct((s["e"] + v["w"] * v["x"]).alias("e"), (s["a"] + v["w"]).alias("a")), lambda s: _ratio(s["e"], s["a"]) if convention == "core" else s["e"])
-            return F.when(n == 0, F.lit(NAN)).otherwise(total)
-
-        values = r.ordered(_d(column), names=("x",))
-        return [(f"{column}_ewma", F.transform(F.array(values), weighed)[0])]  # the list is sorted once
+    def body(r):
+        x, one = _d(column), F.lit(1.0)
+        if constant:
+            scan = r.state.scan
+            found = scan and scan.decayed(r.good, -log_decay, [x, one], scan.numbered(r.good))[0]
+        else:
+            found = r.decayed(-log_decay * r.state.nanos_per_tick / float(nanos(duration_per_period)), x, one)
+        if not found:
+            return [(f"{column}_ewma", F.transform(F.array(r.ordered(x, names=("x",))), lambda values: from_list(values, r))[0])]  # the list is sorted once
+        value = _ratio(*found) if convention == "core" else found[0]
+        return [(f"{column}_ewma", F.when(r.count(F.col(column)) == 0, F.lit(NAN)).otherwise(value))]
+
+    def from_list(values: Column, r: Rows) -> Column:
+        """Where weights count rows, or fade so fast that a window's sums can't be differences of prefix sums."""
+        n = F.size(values)
+
+        def periods(v, i):
+            if constant:
+                return (n - 1 - i).cast("double")
+            return (F.get(values, n - 1)["t"] - v["t"]).cast("double") * (r.state.nanos_per_tick / float(nanos(duration_per_period)))
+
+        weighted = F.transform(values, lambda v, i: F.struct((F.exp(periods(v, i) * log_decay)).alias("w"), v["x"].alias("x")))
+        zero = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("a"))
+        total = F.aggregate(weighted, zero, lambda s, v: F.struct((s["e"] + v["w"] * v["x"]).alias("e"), (s["a"] + v["w"]).alias("a")), lambda s: _ratio(s["e"], s["a"]) if convention == "core" else s["e"])
+        return F.when(n == 0, F.lit(NAN)).otherwise(total)
 
     return Simple((column,), body)
 
@@ -476,11 +522,14 @@ def linear_regression(y: str, xs: Sequence[str], weight: str | None = None, use_
 
     def body(r):
         w = _d(weight) if weight else F.lit(1.0)
-        columns = [*([F.lit(1.0)] if use_intercept else []), *[_d(x) for x in names]]
+        centres = [r.centre(_d(c)) if use_intercept else F.lit(0.0) for c in (*names, y)]
+        *each, label = [_d(c) - m for c, m in zip((*names, y), centres, strict=True)]
+        columns = [*([F.lit(1.0)] if use_intercept else []), *each]
         gram = [r.sum(w * a * b) for i, a in enumerate(columns) for b in columns[i:]]
-        moments = [r.sum(w * a * _d(y)) for a in columns]
+        moments = [r.sum(w * a * label) for a in columns]
         spread = [F.coalesce(r.other(_d(x), F.var_pop), F.lit(0.0)) for x in names]
-        rest = [r.sum(w * _d(y) * _d(y)), r.sum(w), r.sum(F.ln(w)) if weight else F.lit(0.0), r.sum(w * _d(y)), r.count().cast("double")]
+        rest = [r.sum(w * label * label), r.sum(w), r.sum(F.ln(w)) if weight else F.lit(0.0), r.sum(w * label), r.count().cast("double")]
+        rest += [_middle(r, c) if use_intercept else c for c in centres]
         solved = least_squares.solver(names, use_intercept, ignore_const, const_bound)(F.array(*gram, *moments, *spread, *rest))
         return [(n, _shown(solved[n], kind)) for n, kind in least_squares.KINDS.items()]
 

@@ -175,3 +175,44 @@ def windowed(df: DataFrame, by: list[str], ticks: str, own: str, low: int, high:
         return out
 
     return df.groupBy(*by).applyInPandas(group, schema)
+
+
+def window_batches(df: DataFrame, by: list[str], ticks: str, own: str, low: int, high: int, fn: Callable, fields: list[T.StructField], drop: list[str], order: list[str], most: int) -> DataFrame:
+    """fn(left rows, right rows, begins, ends) for batches of at most `most` own rows and the rows that cover their windows:
+    row i of left has the rows begins[i] to ends[i] - 1 of right. It gives a value (or tuple of values) per left row."""
+    kept = [f for f in df.schema.fields if f.name not in drop]
+    schema = T.StructType([*kept, *fields])
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([ticks, *order], kind="stable").reset_index(drop=True)
+        t, made = rows[ticks].to_numpy(), []
+        mine = np.flatnonzero(rows[own].to_numpy())
+        begins, ends = np.searchsorted(t, t[mine] + low, "left"), np.searchsorted(t, t[mine] + high, "right")
+        names = [f.name for f in kept]
+        for i in range(0, len(mine), most):
+            a, b = begins[i : i + most], ends[i : i + most]
+            left = rows.iloc[mine[i : i + most]][names].reset_index(drop=True)
+            values = fn(left, rows.iloc[a[0] : b[-1]][names].reset_index(drop=True), a - a[0], b - a[0])
+            values = values if len(fields) > 1 else (values,)
+            made.append(left.assign(**{f.name: np.asarray(v) for f, v in zip(fields, values, strict=True)}))
+        return pd.concat(made) if made else rows.iloc[:0].reindex(columns=schema.names)
+
+    return df.groupBy(*by).applyInPandas(group, schema)
+
+
+def arrow_file(rows):
+    """array<struct> as the bytes of an Arrow file."""
+
+    @F.pandas_udf("binary")
+    def encoded(lists: pd.Series) -> pd.Series:
+        import pyarrow as pa
+
+        def one(records) -> bytes:
+            sink, table = pa.BufferOutputStream(), pa.Table.from_pylist([dict(r) if isinstance(r, dict) else r.asDict() for r in records])
+            with pa.ipc.new_file(sink, table.schema) as writer:
+                writer.write_table(table)
+            return sink.getvalue().to_pybytes()
+
+        return lists.map(one)
+
+    return encoded(rows)

@@ -25,7 +25,7 @@ def as_of(left: DataFrame, right: DataFrame, time: str, key: list[str], toleranc
     kind = time_type(left, time)
     if type(kind) is not type(time_type(right, right_time)):
         raise TypeError("the time columns have different types")
-    reach = length_in_ticks(tolerance, kind)
+    reach = buckets.reach_of(length_in_ticks(tolerance, kind))
     if reach < 0:
         raise ValueError("a tolerance can't be negative")
     shared = {time, *key}
@@ -70,10 +70,10 @@ def merge(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def symmetric(left: DataFrame, right: DataFrame, time: str, key: list[str], tolerance="0ns", left_alias: str | None = None, right_alias: str | None = None) -> DataFrame:
-    """Each side joined to the past of the other, one under the other."""
-    a = as_of(left, right, time, key, tolerance, left_alias=left_alias, right_alias=right_alias)
-    b = as_of(right, left, time, key, tolerance, left_alias=right_alias, right_alias=left_alias)
+def symmetric(left: DataFrame, right: DataFrame, time: str, key: list[str], tolerance="0ns", left_alias: str | None = None, right_alias: str | None = None, left_order: tuple[str, ...] = (), right_order: tuple[str, ...] = ()) -> DataFrame:
+    """Each side joined to the past of the other, one under the other. Of equal times the last by the other side's order."""
+    a = as_of(left, right, time, key, tolerance, left_alias=left_alias, right_alias=right_alias, right_order=right_order)
+    b = as_of(right, left, time, key, tolerance, left_alias=right_alias, right_alias=left_alias, right_order=left_order)
     return a.unionByName(b)
 
 

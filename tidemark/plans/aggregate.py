@@ -10,6 +10,7 @@ from tidemark.functions import summarizers as S
 from tidemark.functions.time import from_ticks, length_in_ticks, per_tick, ticks, time_type
 from tidemark.functions.windows import TimeWindow
 from tidemark.plans import buckets
+from tidemark.plans.scan import REACH, Scan, attached
 from tidemark.plans.state import Primitives, State
 
 TICKS, ROW = "__ticks", "__row"
@@ -25,30 +26,28 @@ def prepared(df: DataFrame, time: str) -> DataFrame:
     return df.withColumn(TICKS, ticks(F.col(time), time_type(df, time)))
 
 
-def state_for(df: DataFrame, time: str, order_by: tuple[str, ...], names: list[str]) -> State:
-    return State(Primitives(), time, F.col(TICKS), per_tick(time_type(df, time)), tuple(F.col(c) for c in order_by), tuple(names))
+def state_for(df: DataFrame, time: str, order_by: tuple[str, ...], names: list[str], **more) -> State:
+    return State(Primitives(), time, F.col(TICKS), per_tick(time_type(df, time)), tuple(F.col(c) for c in order_by), tuple(names), **more)
 
 
-def grouped(df: DataFrame, summarizer, time: str, keys: list[Column | str], order_by: tuple[str, ...] = (), names: list[str] | None = None) -> DataFrame:
+def with_group_values(df: DataFrame, values: dict[str, Column], keys: list[str]) -> DataFrame:
+    """df with aggregates of each row's group."""
+    return attached(df, df.groupBy(*quoted(keys)).agg(*[c.alias(n) for n, c in values.items()]), keys) if values else df
+
+
+def grouped(df: DataFrame, summarizer, time: str, keys: list[str], order_by: tuple[str, ...] = (), names: list[str] | None = None) -> DataFrame:
     """keys, then outputs. df has been prepared()."""
-    state = state_for(df, time, order_by, names or [c for c in df.columns if c != TICKS])
+    state = state_for(df, time, order_by, names or [c for c in df.columns if c != TICKS], before={})
     outputs = S.as_summarizer(summarizer).outputs(state)
+    df = with_group_values(df, state.before, keys)
     parts = [p.aggregate.alias(n) for n, p in state.primitives.found.items()]
     if not parts:
         parts = [F.count(F.lit(1)).alias("__none")]
-    by = df.groupBy(*keys).agg(*parts)
+    by = df.groupBy(*quoted(keys)).agg(*parts)
     own = [c for c in by.columns if c not in state.primitives.found and c != "__none"]
     return by.select(*[F.col(f"`{c}`") for c in own], *[c.alias(n) for n, c in outputs])
 
 
-def over(df: DataFrame, summarizer, time: str, frame, order_by: tuple[str, ...], names: list[str], keep: list[str]) -> DataFrame:
-    """keep, then outputs over a window specification."""
-    state = state_for(df, time, order_by, names)
-    outputs = S.as_summarizer(summarizer).outputs(state)
-    with_parts = df.withColumns({n: p.aggregate.over(frame) for n, p in state.primitives.found.items()}) if state.primitives.found else df
-    return with_parts.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in outputs])
-
-
 def summarize(df: DataFrame, summarizer, time: str, key: list[str], order_by: tuple[str, ...] = ()) -> DataFrame:
     """One row per key, at time 0; an empty table gives no row."""
     kind = time_type(df, time)
@@ -60,8 +59,9 @@ def summarize(df: DataFrame, summarizer, time: str, key: list[str], order_by: tu
 def summarize_state(df: DataFrame, summarizer, time: str, key: list[str], order_by: tuple[str, ...] = ()) -> DataFrame:
     """The primitives themselves, which can be merged further, beside the outputs."""
     ready = prepared(df, time)
-    state = state_for(ready, time, order_by, df.columns)
+    state = state_for(ready, time, order_by, df.columns, before={})
     outputs = S.as_summarizer(summarizer).outputs(state)
+    ready = with_group_values(ready, state.before, key)
     by = ready.groupBy(*key).agg(*[p.aggregate.alias(n) for n, p in state.primitives.found.items()])
     return by.select(*key, *[F.col(n).alias(f"state_{i}") for i, n in enumerate(state.primitives.found)], *[c.alias(n) for n, c in outputs])
 
@@ -71,39 +71,56 @@ def cycles(df: DataFrame, summarizer, time: str, key: list[str], order_by: tuple
     return found.select(*quoted([time, *key]), *quoted([c for c in found.columns if c not in (time, *key)]))
 
 
+def _even_width(ready: DataFrame) -> int:
+    """A bucket's width that cuts the table's range of time into several buckets for each shuffle partition."""
+    first, last = ready.agg(F.min(TICKS), F.max(TICKS)).first()
+    pieces = 4 * int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-(last - first + 1) // pieces)) if first is not None else 1
+
+
 def running(df: DataFrame, summarizer, time: str, key: list[str], order_by: tuple[str, ...] = (), bucket=None) -> DataFrame:
     """Row by row; ties follow order_by.
 
     bucket (a duration): for sums, counts and extremes, running values are computed within buckets of time and the
-    totals of earlier buckets are added, so that no key is bound to one task."""
+    totals of earlier buckets are added, so that no key is bound to one task; without a key it is chosen by the table's
+    range of time (one query for it). Moving averages are computed by buckets in any case. Summarizers of other parts
+    (quantiles, central moments) keep a key's rows in one task, and a series without a key, too."""
     columns = df.columns
     ready = prepared(df, time)
-    order = [F.col(TICKS), *[F.col(c) for c in order_by]]
+    order = [TICKS, *order_by]
     if not order_by:
         ready = ready.withColumn(ROW, F.monotonically_increasing_id())
-        order.append(F.col(ROW))
-    if bucket is None:
-        frame = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return over(ready, summarizer, time, frame, order_by, columns, columns)
-    state = state_for(ready, time, order_by, columns)
-    outputs = S.as_summarizer(summarizer).outputs(state)
+        order.append(ROW)
+
+    def asked(width: int | None):
+        state = state_for(ready, time, order_by, columns, before={}, scan=Scan(key, TICKS, order, width))
+        return state, S.as_summarizer(summarizer).outputs(state)
+
+    width = None if bucket is None else length_in_ticks(bucket, time_type(df, time))
+    state, outputs = asked(width)
     parts = state.primitives.found
-    if any(p.kind == "other" for p in parts.values()):
+    others = any(p.kind == "other" for p in parts.values())
+    if bucket is not None and others:
         raise ValueError("bucket: only for summarizers made of sums, counts and extremes")
-    width = length_in_ticks(bucket, time_type(df, time))
-    merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    if bucket is None and not key and not others:
+        width = _even_width(ready)
+        state, outputs = asked(width)
+        parts = state.primitives.found
+    ready = with_group_values(ready, state.before, key)
+    ready = state.scan.applied(ready)
+    if width is None or not parts:
+        frame = Window.partitionBy(*quoted(key)).orderBy(*quoted(order)).rowsBetween(Window.unboundedPreceding, 0)
+        with_parts = ready.withColumns({n: p.aggregate.over(frame) for n, p in parts.items()})
+        return with_parts.select(*quoted(columns), *[c.alias(n) for n, c in outputs])
+    merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "last": F.max}
     dealt = ready.withColumn(buckets.BUCKET, buckets.home_of(TICKS, width))
-    before = Window.partitionBy(*key).orderBy(buckets.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*key, buckets.BUCKET).agg(*[p.aggregate.alias(n) for n, p in parts.items()])
-    totals = totals.select(*key, buckets.BUCKET, *[merge[p.kind](n).over(before).alias(f"{n}_before") for n, p in parts.items()])
-    inside = Window.partitionBy(*key, buckets.BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*quoted(key)).orderBy(buckets.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*quoted(key), buckets.BUCKET).agg(*[p.aggregate.alias(n) for n, p in parts.items()])
+    totals = totals.select(*quoted(key), buckets.BUCKET, *[merge[p.kind](n).over(before).alias(f"{n}_before") for n, p in parts.items()])
+    inside = Window.partitionBy(*quoted(key), buckets.BUCKET).orderBy(*quoted(order)).rowsBetween(Window.unboundedPreceding, 0)
     rows = dealt.withColumns({n: p.aggregate.over(inside) for n, p in parts.items()})
-    same = [rows[c].eqNullSafe(totals[c]) for c in (*key, buckets.BUCKET)]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    joined = rows.join(totals, condition).select(*[rows[c] for c in rows.columns], *[totals[f"{n}_before"] for n in parts])
-    both = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "min": F.least, "max": F.greatest}
+    joined = attached(rows, totals, [*key, buckets.BUCKET])
+    both = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "min": F.least, "max": F.greatest, "last": F.greatest}
     both["count"] = both["sum"]
     joined = joined.withColumns({n: both[p.kind](F.col(n), F.col(f"{n}_before")) for n, p in parts.items()})
     return joined.select(*quoted(columns), *[c.alias(n) for n, c in outputs])
@@ -113,26 +130,43 @@ def windows(df: DataFrame, summarizer, time: str, window: TimeWindow, key: list[
     """Every row with the summary of the rows of its key whose time lies in its window.
 
     strategy: "frame" slides a range frame (cost: rows times rows in a window); "prefix" takes differences of prefix sums
-    (sums and counts only; any window costs the same); "auto" is prefix where possible without a key, else frame.
-    Either way rows are dealt by key and time bucket."""
+    (sums and counts only); "blocks" merges what lies before and behind a bucket's edge (sums, counts and extremes). The
+    last two cost the same whatever the window. "auto": without a key, or for moving averages, prefix where possible,
+    then blocks where possible, else frame. In any case rows are dealt by key and time bucket."""
     summarizer = S.as_summarizer(summarizer)
     kind, columns = time_type(df, time), df.columns
-    reach = length_in_ticks(window.length, kind)
+    reach = buckets.reach_of(length_in_ticks(window.length, kind))
     if isinstance(summarizer, S.LagSum):
         return _lag_windows(df, summarizer, time, window, key)
     ready = prepared(df, time)
+    state = state_for(ready, time, order_by, columns, before={}, origin=F.lit(0))
+    summarizer.outputs(state)
+    fastest = max(state.rates, default=0.0) * reach  # a bucket's exponents must fit a double
+    fits = fastest * 2 <= 2 * REACH
+    factor = max(1, min(factor, int(2 * REACH / fastest) - 1)) if fits and fastest else factor
     width = buckets.width_for(reach, factor)
-    state = state_for(ready, time, order_by, columns)
+    state = state_for(ready, time, order_by, columns, before={} if fits else None, origin=F.col(buckets.BUCKET) * width if fits else None)
     outputs = summarizer.outputs(state)
+    found = state.primitives
     if strategy == "auto":
-        strategy = "prefix" if state.primitives.subtractable and state.primitives.found and not key else "frame"
-    if strategy == "prefix" and not state.primitives.subtractable:
+        linear = found.found and (not key or state.rates)
+        strategy = "prefix" if linear and found.subtractable else "blocks" if linear and found.mergeable else "frame"
+    if strategy == "prefix" and not found.subtractable:
         raise ValueError("prefix: only for summarizers made of sums and counts")
+    if strategy == "blocks" and not found.mergeable:
+        raise ValueError("blocks: only for summarizers made of sums, counts and extremes")
+    if strategy == "blocks":
+        if state.rates:
+            raise ValueError("blocks: not for moving averages")
+        return _blocks(ready, state, outputs, columns, key, reach, window.future)
     dealt = buckets.repeated(ready, TICKS, width, reach, window.future, "__own")
+    if state.before:
+        part = Window.partitionBy(*quoted(key), buckets.BUCKET)
+        dealt = dealt.withColumns({n: c.over(part) for n, c in state.before.items()})
     if strategy == "prefix":
         return _prefix(dealt, state, outputs, columns, key, reach, window.future)
     low, high = (0, reach) if window.future else (-reach, 0)
-    frame = Window.partitionBy(*key, buckets.BUCKET).orderBy(TICKS).rangeBetween(low, high)
+    frame = Window.partitionBy(*quoted(key), buckets.BUCKET).orderBy(TICKS).rangeBetween(low, high)
     with_parts = dealt.withColumns({n: p.aggregate.over(frame) for n, p in state.primitives.found.items()})
     return with_parts.where("__own").select(*[F.col(f"`{c}`") for c in columns], *[c.alias(n) for n, c in outputs])
 
@@ -148,6 +182,8 @@ def _prefix(dealt: DataFrame, state: State, outputs, columns: list[str], key: li
     for n, p in parts.items():
         if p.kind == "count":
             values[n] = F.when(p.value.isNotNull(), 1).otherwise(0).cast("long")
+        elif p.kind == "last":
+            values[n] = p.value
         else:
             values[n] = F.when(F.isnan(p.value), 0.0).otherwise(F.coalesce(p.value, F.lit(0.0)))
             values[f"{n}_nan"] = F.when(F.isnan(p.value), 1).otherwise(0).cast("long")
@@ -160,22 +196,53 @@ def _prefix(dealt: DataFrame, state: State, outputs, columns: list[str], key: li
     numbered = dealt.withColumns(values).withColumn(ROW, F.monotonically_increasing_id())
     placed = numbered.withColumn("__p", F.explode(F.when(F.col("__own"), F.array(place(start, 0), row, place(end, 2))).otherwise(F.array(row))))
     side = F.col("__p.side")
-    placed = placed.withColumns({v: F.when(side == 1, F.col(v)).otherwise(F.lit(0).cast(kinds[v])) for v in values})
+    latest = {n for n, p in parts.items() if p.kind == "last"}  # the last up to the window's end, as rows come in order of time
+    placed = placed.withColumns({v: F.when(side == 1, F.col(v)).otherwise(F.lit(None if v in latest else 0).cast(kinds[v])) for v in values})
     upto = Window.partitionBy(*key, buckets.BUCKET).orderBy("__p.at", "__p.side").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.withColumns({v: F.sum(v).over(upto) for v in values})
+    summed = placed.withColumns({v: (F.max if v in latest else F.sum)(v).over(upto) for v in values})
     mine = Window.partitionBy(*key, buckets.BUCKET, ROW)
-    signed = {v: F.sum(F.when(side == 2, F.col(v)).when(side == 0, -F.col(v)).otherwise(F.lit(0).cast(kinds[v]))).over(mine) for v in values}
+    signed = {v: F.sum(F.when(side == 2, F.col(v)).when(side == 0, -F.col(v)).otherwise(F.lit(0).cast(kinds[v]))).over(mine) for v in values if v not in latest}
+    signed |= {v: F.max(F.when(side == 2, F.col(v))).over(mine) for v in latest}
     found = summed.withColumns(signed).where(F.col("__own") & (side == 1))
     shown = {n: F.when(F.col(f"{n}_nan") > 0, F.lit(S.NAN)).when(F.col(f"{n}_some") == 0, F.lit(None).cast("double")).otherwise(F.col(n)) for n, p in parts.items() if p.kind == "sum"}
     return found.withColumns(shown).select(*[F.col(f"`{c}`") for c in columns], *[c.alias(n) for n, c in outputs])
 
 
+def _blocks(ready: DataFrame, state: State, outputs, columns: list[str], key: list[str], reach: int, future: bool) -> DataFrame:
+    """Buckets are one tick longer than a window, so that a window is the start of its row's bucket up to the row, and the
+    end of the bucket before (future: the other way round). Both parts are running values; merging them subtracts nothing.
+
+    A bucket's partition has its own rows and those of the neighbour; each own row sends one probe to where its window
+    begins (future: ends) in the neighbour, and meets it by number within the same partition."""
+    parts, width = state.primitives.found, reach + 1
+    numbered = ready.withColumns({n: p.value for n, p in parts.items()}).withColumn(ROW, F.monotonically_increasing_id())
+    home, step = buckets.home_of(TICKS, width), (-1 if future else 1)
+    place = lambda bucket, at, kind: F.struct(bucket.alias("b"), at.alias("at"), F.lit(kind).alias("kind"))
+    t = F.col(TICKS)
+    placed = numbered.withColumn("__p", F.explode(F.array(place(home, t, 1), place(home + step, t, 0), place(home, t + reach if future else t - reach, 2))))
+    placed = placed.withColumn(buckets.BUCKET, F.col("__p.b"))
+    kind = F.col("__p.kind")  # 1: own row, 0: the neighbour's, 2: probe
+    fold = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "last": F.max}
+    part = Window.partitionBy(*quoted(key), buckets.BUCKET)
+    up, down = part.orderBy("__p.at"), part.orderBy(F.col("__p.at").desc())
+    own, other = (down, up) if future else (up, down)
+    frame = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = {f"{n}_own": fold[p.kind](F.when(kind == 1, F.col(n))).over(frame(own)) for n, p in parts.items()}
+    theirs = {f"{n}_far": fold[p.kind](F.when(kind == 0, F.col(n))).over(frame(other)) for n, p in parts.items()}
+    summed = placed.withColumns(mine).withColumns(theirs)
+    probe = Window.partitionBy(*quoted(key), buckets.BUCKET, ROW)
+    met = summed.withColumns({f"{n}_far": F.max(F.when(kind == 2, F.col(f"{n}_far"))).over(probe) for n in parts}).where(kind == 1)
+    both = {"min": F.least, "max": F.greatest, "last": F.greatest}
+    both["sum"] = both["count"] = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    return met.withColumns({n: both[p.kind](F.col(f"{n}_own"), F.col(f"{n}_far")) for n, p in parts.items()}).select(*quoted(columns), *[c.alias(n) for n, c in outputs])
+
+
 def _lag_windows(df: DataFrame, s: S.LagSum, time: str, window: TimeWindow, key: list[str]) -> DataFrame:
     """Sum in the window, and in the stretch of `lookback` that ends just before it."""
     if window.future:
         raise ValueError("lag_sum looks back")
     kind, columns = time_type(df, time), df.columns
-    reach, lag = length_in_ticks(window.length, kind), length_in_ticks(s.lookback, kind)
+    reach, lag = (min(length_in_ticks(x, kind), buckets.LONGEST // 2) for x in (window.length, s.lookback))
     dealt = buckets.repeated(prepared(df, time), TICKS, buckets.width_for(reach + lag), reach + lag, False, "__own")
     order = Window.partitionBy(*key, buckets.BUCKET).orderBy(TICKS)
     x = F.col(s.column).cast("double")

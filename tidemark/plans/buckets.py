@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FACTOR = 16
+LONGEST = 1 << 61  # so that sums of a time and a length stay within a long
 BUCKET = "__bucket"
 
 
+def reach_of(ticks: int) -> int:
+    return min(ticks, LONGEST)
+
+
 def width_for(reach: int, factor: int = FACTOR) -> int:
-    return max(1, reach * factor)
+    return max(1, min(reach * factor, LONGEST))
 
 
 def home_of(ticks: str, width: int) -> Column:

@@ -7,15 +7,17 @@ are computed (grouped, over a frame, by a difference of prefix sums) is decided
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.plans.scan import Scan
+
 
 @dataclass(frozen=True)
 class Primitive:
-    kind: str  # sum, count, min, max, other
+    kind: str  # sum, count, min, max, last (the largest time), other
     value: Column
     aggregate: Column
 
@@ -36,12 +38,20 @@ class Primitives:
 
     @property
     def subtractable(self) -> bool:
-        return all(p.kind in ("sum", "count") for p in self.found.values())
+        return all(p.kind in ("sum", "count", "last") for p in self.found.values())
+
+    @property
+    def mergeable(self) -> bool:
+        return all(p.kind != "other" for p in self.found.values())
 
 
 @dataclass(frozen=True)
 class State:
-    """What a summarizer sees. rows: columns that must not be null for a row to count; condition: a further filter."""
+    """What a summarizer sees. rows: columns that must not be null for a row to count; condition: a further filter.
+
+    before: aggregates of the group (or of a window's partition) that the caller adds to each row beforehand, by name;
+    None where it can't. scan: for running values. origin: ticks from which decaying weights are counted in windows.
+    rates: decay rates that were asked for."""
 
     primitives: Primitives
     time: str
@@ -50,6 +60,10 @@ class State:
     order: tuple[Column, ...] = ()
     names: tuple[str, ...] = ()
     condition: Column | None = None
+    before: dict[str, Column] | None = None
+    scan: Scan | None = None
+    origin: Column | None = None
+    rates: list[float] = field(default_factory=list)
 
     def where(self, condition: Column) -> State:
         return replace(self, condition=condition if self.condition is None else self.condition & condition)
@@ -87,6 +101,35 @@ class Rows:
     def max(self, value: Column) -> Column:
         return self._add("max", self._only(value), F.max)
 
+    def _before(self, fn: Callable[[Column], Column], value: Column) -> Column:
+        made = fn(self._only(value))
+        for name, known in self.state.before.items():
+            if str(known) == str(made):
+                return F.col(name)
+        name = f"__before_{len(self.state.before)}"
+        self.state.before[name] = made
+        return F.col(name)
+
+    def centre(self, value: Column) -> Column:
+        """A constant of the group near its mean, to be subtracted before products are summed; 0 where none is at hand."""
+        return F.lit(0.0) if self.state.before is None else F.coalesce(self._before(F.avg, value), F.lit(0.0))
+
+    def decayed(self, rate: float, *values: Column) -> list[Column] | None:
+        """Sums of value * exp(-rate * (last - t)), t in ticks, last of the last row that counts; None where they would
+        have to be taken from a list."""
+        state = self.state
+        state.rates.append(rate)
+        if state.scan is not None:
+            return state.scan.decayed(F.lit(True) if self.good is None else self.good, rate, list(values))[0]
+        if state.origin is not None:
+            last = self._add("last", self._only(state.ticks), F.max)
+            fade = F.exp((state.origin - last).cast("double") * rate)
+            return [self.sum(v * F.exp((state.ticks - state.origin).cast("double") * rate)) * fade for v in values]
+        if state.before is not None:
+            last = self._before(F.max, state.ticks)
+            return [self.sum(v * F.exp((state.ticks - last).cast("double") * rate)) for v in values]
+        return None
+
     def other(self, value: Column, fn: Callable[[Column], Column]) -> Column:
         """fn(value) with rows that don't count as null."""
         return self._add("other", self._only(value), fn)

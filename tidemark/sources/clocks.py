@@ -30,9 +30,8 @@ class UniformClock:
         """Generated in parallel; nothing is held on the driver."""
         t = KINDS[kind]
         unit = per_tick(t)
-        at = F.floor(F.lit(self.first) / unit) if self.first % unit else F.lit(self.first // unit)
-        value = at + F.col("id") * (self.step // unit) if self.step % unit == 0 else ((F.lit(self.first) + F.col("id") * self.step) / unit).cast("long")
-        return spark.range(self.count).select(from_ticks(value.cast("long"), t).alias(time))
+        at = spark.range(self.count).select((F.lit(self.first) + F.col("id") * self.step).alias("at"))
+        return at.select(from_ticks(F.expr(f"(at - pmod(at, {unit}L)) div {unit}L"), t).alias(time))
 
 
 def uniform(frequency, offset="0s", begin=BEGIN, end=END, end_inclusive: bool = True) -> UniformClock:
@@ -69,4 +68,4 @@ def random_frame(spark: SparkSession, frequency, offset="0s", begin=BEGIN, end=E
     gap = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.ceil(unit_draw * clock.step / 1000).cast("long") * 1000).cast("long")
     at = F.col("from") + F.sum(gap).over(Window.partitionBy("slice").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     ticks = steps.withColumn("at", at).where((F.col("at") < F.col("from") + span) & (F.col("at") <= limit))
-    return ticks.select(from_ticks((F.col("at") / unit).cast("long"), t).alias(time))
+    return ticks.select(from_ticks(F.expr(f"at div {unit}L"), t).alias(time))  # whole microseconds

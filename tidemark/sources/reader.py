@@ -86,7 +86,10 @@ class Reader:
         return self.dataframe(self.spark.createDataFrame(frame, schema))
 
     def csv(self, path, schema=None, header: bool = True, keep_time: bool = False, date_format: str | None = None, **options) -> TimeSeriesFrame:
-        """Without header and schema the first column is time. keep_time keeps the column as it was, as time_."""
+        """Without header and schema the first column is time. keep_time keeps the column as it was, as time_.
+
+        With the option epoch_ms a timestamp or date becomes a long of milliseconds since the epoch. Other types than
+        integers, dates and timestamps can't be a time column."""
         read = self.spark.read.options(header=header, inferSchema=schema is None, **options)
         if date_format:
             read = read.option("timestampFormat", date_format)
@@ -99,6 +102,8 @@ class Reader:
             df = df.withColumn(column, F.col(column).cast("long"))
         elif kind == "date":
             df = df.withColumn(column, F.col(column).cast("timestamp"))
+        if self.options_.get("epoch_ms") and kind in ("date", "timestamp", "timestamp_ntz"):
+            df = df.withColumn(column, F.unix_millis(F.col(column).cast("timestamp")))
         return self.option("time_column", column).dataframe(df)
 
     def clock(self, name: str = "uniform", frequency="1d", offset="0s", end_inclusive: bool = True, kind: str = "timestamp", **more) -> TimeSeriesFrame:
