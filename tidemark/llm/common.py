@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own, which is then set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, local masters (tests) get a folder of their own; a
+    cluster's executors couldn't see one, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir() or at
@@ -34,14 +38,38 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, scratch: Scratch | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, is computed once, and outlives executors."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that nothing reads any more once a step is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def drop(self, most_recent: int = 0) -> None:
+        """Deletes all but the last few."""
+        gone = self.paths[: len(self.paths) - most_recent]
+        self.paths = self.paths[len(gone) :]
+        context = self.spark.sparkContext
+        for path in gone:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def row_key(docs: DataFrame, *columns: str) -> list:
+    """Two hashes of a row (of all its columns, if none are named), 128 bits; equal rows share them."""
+    values = [F.col(f"`{c}`") for c in columns or docs.columns]
+    return [F.xxhash64(*values).alias("row_a"), F.xxhash64(F.lit(1), *values).alias("row_b")]
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a shared folder's URI or plain path."""
     from pyarrow import fs
