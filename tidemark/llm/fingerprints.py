@@ -11,10 +11,11 @@ A text with fewer words than k is one anchor, and one without any closed syncmer
 texts have an empty fingerprint; two empty fingerprints are alike (1.0), an empty one and another are not (0.0).
 
 Order. The next document of each is found over a table of ids alone: it is range-partitioned and sorted, numbered within
-partitions, and the partitions' row counts give the rest. Rows that share an id are ordered by a hash of their texts;
-rows equal in both are ordered arbitrarily, which no result can show. A null id comes first. Texts are shuffled once, by
-a hash of id and text, so that no id is hot; after that each moves once more, to the previous document, which takes its
-start and its anchors (these would weigh more than the text).
+partitions, and the partitions' row counts give the rest. Rows that share an id are ordered by a hash of their texts; a
+null id comes first. Rows equal in both are one row of all these tables, with their number: each of them but the last is
+followed by its own text, the last by the next of the others. Texts are shuffled once, by hashes of id and text, so that
+no id is hot; after that each moves once more, to the previous document, which takes its start and its anchors (these
+would weigh more than the text).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, offsets_by_part, tasks_for, written
+from tidemark.llm.common import GAP, offsets_by_part, row_key, tasks_for, written
 
 K, S = 5, 2
 
@@ -106,31 +107,32 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of every text, of its edited text (the last half replaced by the next document's start) and their likeness."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    # rows are known by a hash of id and text, and by a number among rows equal in both
-    marked_texts = texts.withColumn("mark", F.xxhash64("text")).withColumn("h", F.xxhash64("doc_id", "mark"))
-    same = Window.partitionBy("h").orderBy("doc_id", "mark")
-    light = marked_texts.select("doc_id", "mark", "h", F.length("text").cast("long").alias("n")).withColumn("copy", F.row_number().over(same))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("copy")]
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    marked = marked.select("*", *row_key(marked, "doc_id", "mark"))
+    key = ["row_a", "row_b"]
+    light = marked.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.min(F.length("text")).alias("n"), F.count("*").alias("copies"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row_a")]
     placed = written(light.repartitionByRange(tasks_for(docs), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "order")
     placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("row", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     offsets = offsets_by_part(placed.withColumn("one", F.lit(1).cast("long")), "part", {"before": "one"})
-    ranked = written(placed.join(offsets, "part").select("h", "copy", "n", (F.col("before") + F.col("row")).alias("rank")), "ranks")
+    ranked = written(placed.join(offsets, "part").select(*key, "n", "copies", (F.col("before") + F.col("row")).alias("rank")), "ranks")
     total = max(1, ranked.count())
-    previous = ranked.select(F.col("h").alias("to_h"), F.col("copy").alias("to_copy"), F.floor(F.col("n") / 2).alias("need"), ((F.col("rank") + 1) % F.lit(total)).alias("rank"))
-    routes = ranked.join(previous, "rank").select(F.col("h").alias("of_h"), F.col("copy").alias("of_copy"), "to_h", "to_copy", "need")
-    own = marked_texts.withColumn("copy", F.row_number().over(same)).select("doc_id", "text", "h", "copy")
-
-    def one_row(a: str, b: str) -> Column:
-        """Equal copies, said so that texts stay dealt by h alone (an equality would deal them out once more)."""
-        return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
-
-    joined = own.join(routes, (F.col("h") == F.col("of_h")) & one_row("copy", "of_copy"))
-    sent = joined.select("to_h", "to_copy", "need", F.col("text").alias("next_text"))
-    full = own.join(sent, (F.col("h") == F.col("to_h")) & one_row("copy", "to_copy"))
+    previous = ranked.select(F.col("row_a").alias("to_a"), F.col("row_b").alias("to_b"), F.col("copies").alias("to_copies"), ((F.col("rank") + 1) % F.lit(total)).alias("rank"))
+    routes = ranked.join(previous, "rank").select(*key, "to_a", "to_b", "to_copies")
+    one = Window.partitionBy(*key).orderBy("mark")
+    own = marked.withColumn("place", F.row_number().over(one)).where("place = 1").select("doc_id", "text", *key)
+
+    sent = own.join(routes, key).select(F.col("to_a").alias("row_a"), F.col("to_b").alias("row_b"), F.col("to_copies").alias("copies"), F.col("text").alias("next_text"))
+    full = own.join(sent, key)
+    last = F.struct(F.col("next_text").alias("next_text"), F.lit(1).cast("long").alias("times"))
+    others = F.struct(F.col("text").alias("next_text"), (F.col("copies") - 1).alias("times"))
+    followed = full.select("doc_id", "text", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("f")).select("doc_id", "text", "f.next_text", "f.times")
     n = F.length("text")
-    edited = full.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("need").cast("int"))).alias("edited"))
-    marked = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("b"), anchors(F.col("next_text")).alias("c"))
-    return marked.select(
+    start = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int"))
+    edited = followed.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", F.concat(start, F.substring(F.col("next_text"), F.lit(1), F.floor(n / 2).cast("int"))).alias("edited"), "times")
+    found = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("b"), anchors(F.col("next_text")).alias("c"), "times")
+    rows = found.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("a")).alias("fingerprint"), shown(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), shift(F.col("a"), F.col("b")).alias("edited_shift"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), shift(F.col("a"), F.col("b")).alias("edited_shift"), "times",
     )
+    return rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
