@@ -6,8 +6,9 @@ frame number, first byte in the frame's content, bytes), then the seek table of
 skippable frame with compressed size, decompressed size and checksum (low 32 bits of XXH64) of each frame, and a footer.
 A reader seeks to the footer, then to the index, and decompresses only frames of requested documents, checking each.
 
-Files hold consecutive ranges of doc_id in ascending order. A task writes to a name of its own and then renames, so
-that a repeated task leaves one good file; the manifest names the files that count. A null text is empty (its ids are
+Files hold consecutive ranges of doc_id in ascending order; a task begins a new one when FILE_BYTES of content are in it,
+so that a file's index is bounded. A task writes to a name of its own and then renames, so that a repeated task leaves
+good files alone; the manifest names the files that count, and what unfinished tasks left is deleted. A null text is empty (its ids are
 the end id alone); null ids sort first and are stored as the smallest 64-bit integer. Rows that share an id are stored
 each, in the order of a hash of their texts. One document is held in memory whole. An empty table gives no documents.
 """
@@ -22,13 +23,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import file_system, new_folder, tasks_for
-from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.tokens import encoder, tokenizer_path, vocabulary_size
 
 FRAME_BYTES = 256 * 1024
+FILE_BYTES = 256 << 20
+ROWS_AT_ONCE = 8192
 LEVEL = 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
@@ -43,13 +47,16 @@ class Writer:
         self.frames: list[tuple[int, int, int]] = []
         self.index: list[tuple[int, int, int, int]] = []
         self.parts: list[bytes] = []
-        self.size = 0
+        self.size = self.total = 0
+        self.most = np.iinfo(dtype).max
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
+        if len(ids) and ids.max() > self.most:
+            raise ValueError(f"id {ids.max()} does not fit {self.dtype}")
         data = ids.astype(self.dtype).tobytes()
         self.index.append((doc_id, len(self.frames), self.size, len(data)))
         self.parts.append(data)
-        self.size += len(data)
+        self.size, self.total = self.size + len(data), self.total + len(data)
         if self.size >= self.frame_bytes:
             self._frame()
 
@@ -108,39 +115,57 @@ class Reader:
         return list(range(a, b))
 
 
-def _write_task(folder: str, path: str, end: int, dtype: str):
+def dtype_for(path: str, end: int) -> str:
+    """uint16 where the vocabulary and the end id allow it."""
+    return "<u2" if max(vocabulary_size(path), end + 1) <= 1 << 16 else "<u4"
+
+
+def _write_task(folder: str, path: str, end: int, dtype: str, file_bytes: int):
     out = pa.schema([("file", pa.string()), ("size", pa.int64()), ("first_id", pa.int64()), ("tokens", pa.int64()), ("docs", pa.int64())])
 
     def task(batches):
         store, at = file_system(folder)
-        encode, writer, sink, first, tokens, docs = None, None, None, None, 0, 0
-        mine = f"{at}/.{uuid.uuid4().hex}.part"
+        encode, writer, sink, mine, first, tokens = None, None, None, None, None, 0
+
+        def closed():
+            writer.finish()
+            sink.close()
+            name = f"{at}/tokens-{uuid.uuid4().hex}.zst"
+            store.move(mine, name)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, store.get_file_info(name).size, first, tokens, len(writer.index)), out, strict=True)], schema=out)
+
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                doc = NULL_ID if doc is None else doc
                 if writer is None:
-                    encode, first = encoder(path), NULL_ID if doc is None else doc
+                    encode, first, tokens, mine = encoder(path), doc, 0, f"{at}/.{uuid.uuid4().hex}.part"
                     store.create_dir(at, recursive=True)
                     sink = store.open_output_stream(mine)
                     writer = Writer(sink, dtype)
-                ids = np.frombuffer(encode.ids(text.as_py()), "<u4")
-                writer.add(NULL_ID if doc is None else doc, np.append(ids, np.uint32(end)))
-                tokens, docs = tokens + len(ids) + 1, docs + 1
+                ids = np.append(np.frombuffer(encode.ids(text.as_py()), "<u4"), np.uint32(end))
+                writer.add(doc, ids)
+                tokens += len(ids)
+                if writer.total >= file_bytes:
+                    yield closed()
+                    writer = None
         if writer is not None:
-            writer.finish()
-            sink.close()
-            name = f"{at}/tokens-{uuid.uuid4().hex}.zst"
-            store.move(mine, name)
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, store.get_file_info(name).size, first, tokens, docs), out, strict=True)], schema=out)
+            yield closed()
 
     return task
 
 
-def write_tokens(docs: DataFrame, folder: str, end: int = 2, path: str | None = None, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> list:
+def write_tokens(docs: DataFrame, folder: str, end: int = 2, path: str | None = None, dtype: str | None = None, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> list:
     """Writes whole texts' ids in ascending doc_id order; the manifest, one entry per file and in order, with the ids before each."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]  # range bounds are sampled to the driver: they must hold no texts
     ordered = texts.repartitionByRange(tasks_for(docs), *order).sortWithinPartitions(*order, "text")
-    rows = ordered.mapInArrow(_write_task(folder, path or tokenizer_path(), end, dtype), "file string, size long, first_id long, tokens long, docs long").collect()  # one per file, by partition
+    path = path or tokenizer_path()
+    task = _write_task(folder, path, end, dtype or dtype_for(path, end), file_bytes)
+    rows = ordered.mapInArrow(task, "file string, size long, first_id long, tokens long, docs long").collect()  # one per file, in order
+    store, at = file_system(folder)
+    for left in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if left.base_name.endswith(".part"):
+            store.delete_file(left.path)
     manifest, before = [], 0
     for r in rows:
         manifest.append((r.file, r.size, before))
@@ -157,16 +182,18 @@ def _read_task(folder: str, dtype: str):
             for name, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(name) as source:
                     reader, rows = Reader(source, size, dtype), []
-                    for row, doc in enumerate(reader.index[:, 0].tolist()):
-                        ids = reader.ids(row)
+                    for row in range(len(reader.index)):
+                        doc, ids = int(reader.index[row, 0]), reader.ids(row)
                         rows.append((None if doc == NULL_ID else doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                        if len(rows) == ROWS_AT_ONCE or row == len(reader.index) - 1:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                            rows = []
 
     return task
 
 
-def read_tokens(spark, folder: str, manifest: list, dtype: str = "<u2") -> DataFrame:
+def read_tokens(spark, folder: str, manifest: list, dtype: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document, from the files."""
     files = spark.createDataFrame(manifest, "file string, size long, start long")
     if manifest:
@@ -175,5 +202,6 @@ def read_tokens(spark, folder: str, manifest: list, dtype: str = "<u2") -> DataF
 
 
 def round_trip(docs: DataFrame, end: int = 2, path: str | None = None) -> DataFrame:
-    folder = new_folder(docs.sparkSession, "token-files")
-    return read_tokens(docs.sparkSession, folder, write_tokens(docs, folder, end, path))
+    path = path or tokenizer_path()
+    folder, dtype = new_folder(docs.sparkSession, "token-files"), dtype_for(path, end)
+    return read_tokens(docs.sparkSession, folder, write_tokens(docs, folder, end, path, dtype), dtype)

@@ -1,5 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with what a worker has seen before kept at hand.
 
+Ids are those of the library's encode(text, add_special_tokens=False); so the literal of a special token in a text gets
+that token's id, unless special_as_text is set.
+
 Byte-level BPE never merges across pre-tokens, and a pre-token never goes on over a space that follows a character other
 than white space, nor reaches over a space before such a character. Cutting a text before each space is therefore exact
 unless a space stands between white space and white space (or the end); such texts are encoded as they are. Pieces are
@@ -41,7 +44,7 @@ def safe(text: str) -> bool:
 class Encoder(dict):
     """Piece (without the space before it) -> ids of space and piece, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
@@ -49,7 +52,8 @@ class Encoder(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.model = self.library.model
         self.full_stop, self.comma, self.new_line = (self.encoded(x) for x in ".,\n")
@@ -84,7 +88,7 @@ class Encoder(dict):
         """All ids of a whole text."""
         if not text:
             return b""
-        if not safe(text):
+        if not safe(text) or any(x in text for x in self.special):
             return self.encoded(text)
         first, *rest = text.split(" ")
         return b"".join([self.encoded(first) if first else b"", *map(self.__getitem__, rest)])
@@ -101,6 +105,12 @@ class Starts(dict):
         return self.encoder.looked_up(piece, "", self)
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def encoder(path: str) -> Encoder:
     """One for each path and worker process; it stays from task to task."""
     kept = sys.__dict__.setdefault("_tidemark_encoders", {})
