@@ -129,6 +129,58 @@ def test_fingerprints_of_long_texts(spark):
     assert by[1].near_next == len(a & b) / len(a | b) > 0 and by[1].edited_shift == 0
 
 
+def brute_anchors(text, k=fingerprints.K, s=fingerprints.S):
+    """{hash: first position}, by the definition of closed syncmers. XXH64 as Spark has it: chained, first seed 42."""
+    import xxhash
+
+    words = [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    h = [xxhash.xxh64_intdigest(w, 42) for w in words]
+
+    def joined(some):
+        seed = 42
+        for x in some:
+            seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    if len(h) < k:
+        whole = xxhash.xxh64_intdigest(",".join(str(signed(x)) for x in h).encode(), 42)
+        return {signed(whole): 0} if h else {}
+    inner = [joined(h[i : i + s]) for i in range(len(h) - s + 1)]
+    places = [i for i in range(len(h) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])] or list(range(len(h) - k + 1))
+    out = {}
+    for i in places:
+        out.setdefault(joined(h[i : i + k]), i)
+    return out
+
+
+def test_fingerprints_against_brute_force(spark, docs, rows):
+    def shown(found):
+        return " ".join(f"{h & (1 << 64) - 1:016x}:{p:x}" for h, p in sorted(found.items()))
+
+    def likeness(a, b):
+        return len(a.keys() & b.keys()) / len(a.keys() | b.keys()) if a and b else float(not a and not b)
+
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.edited_pairs(docs).collect())
+    ordered = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0))
+    want = Counter()
+    for k, (i, t) in enumerate(ordered):
+        follow, half = ordered[(k + 1) % len(ordered)][1], len(t) // 2
+        edited = t[: len(t) - half] + follow[:half]
+        a, b, c = map(brute_anchors, (t, edited, follow))
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), round(likeness(a, b), 9), round(likeness(a, c), 9))] += 1
+    assert got == want
+
+
+def test_fingerprints_of_many_copies(spark):
+    """Equal rows stand side by side: all but the last are followed by their own text."""
+    rows = [(1, "a b c d e f")] * 3000 + [(2, "g h i j k l"), (None, "x"), (None, "x"), (None, "y")]
+    got = Counter((r.doc_id, r.near_next) for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert sum(got.values()) == 3004 and got[(1, 1.0)] == 2999 and got[(1, 0.0)] == 1 and got[(2, 0.0)] == 1 and got[(None, 1.0)] == 1 and got[(None, 0.0)] == 2
+    alone = fingerprints.edited_pairs(spark.createDataFrame([(7, "only one")] * 2, "doc_id long, text string")).collect()
+    assert [r.near_next for r in alone] == [1.0, 1.0]
+
+
 # -- 3
 
 
@@ -209,6 +261,19 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids_of(text), repr(text)
 
 
+def test_special_tokens_in_texts():
+    """The literal of a special token gets its id, as in the library; as text only if asked for."""
+    path, rnd = tokens.tokenizer_path(), random.Random(6)
+    encoder, plain = tokens.Encoder(path), tokens.Encoder(path, special_as_text=True)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    for _ in range(200):
+        text = "".join(rnd.choice(["<|endoftext|>", "a", " ", "\n", "word", "<|", "|>"]) for _ in range(rnd.randrange(1, 12)))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert 50256 in np.frombuffer(encoder.ids("a<|endoftext|>"), "<u4") and 50256 not in np.frombuffer(plain.ids("a<|endoftext|>"), "<u4")
+
+
 def test_tokens_with_a_small_table(monkeypatch):
     """Rows are right while pieces are dropped from the table, and it stays bounded."""
     monkeypatch.setattr(tokens, "PIECES_KEPT", 40)
@@ -268,6 +333,15 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
         wanted = int(reader.index[len(reader.index) // 2, 0])
         (row,) = reader.find(wanted)
         assert reader.ids(row).tolist() == [*ids_of(dict((r[0], r[1]) for r in rows)[wanted]), 2]
+    manifest = token_files.write_tokens(docs.where("doc_id >= 12"), str(tmp_path / "many"), file_bytes=4000)
+    assert len(manifest) > 5 and [m[2] for m in manifest] == sorted(m[2] for m in manifest)
+    spread = sorted(token_files.read_tokens(spark, str(tmp_path / "many"), manifest, "<u2").collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.ids_crc32) for r in spread] == [(r.doc_id, r.ids_crc32) for r in got if (r.doc_id or 0) >= 12]
+    assert token_files.dtype_for(tokens.tokenizer_path(), 2) == "<u2" and token_files.dtype_for(tokens.tokenizer_path(), 70_000) == "<u4"
+    with pytest.raises(ValueError):
+        token_files.Writer(None).add(1, np.array([65_536], np.uint32))
+    wide = token_files.round_trip(docs.where("doc_id = 12"), end=70_000).collect()
+    assert wide[0].ids_crc32 == crc([*ids_of(texts()[13][1]), 70_000])
     data = bytearray(open(name, "rb").read())
     data[10] ^= 255
     (tmp_path / "bad").write_bytes(data)
@@ -310,6 +384,19 @@ def test_mixing(docs, rows, empty):
     assert sorted(map(str, ((r.doc_id, r.taken) for r in got))) == sorted(map(str, ((r.doc_id, r.taken) for r in again)))
 
 
+def test_rows_are_taken_whatever_their_ids(spark):
+    rows = [(None, "a b c", "s"), (None, "d e", "s"), (5, "f g h i", "s"), (5, "j", "s"), (6, "k l", "t"), (6, "k l", "t"), (7, None, "t"), (8, "m n o p q", None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, target int, taken int").repartition(2)
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        if r.size:
+            want[(r.doc_id, r.source, r.size)] += r.taken // r.size
+    found = mixing.take(df)
+    assert found.columns == df.columns
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in found.collect())
+    assert got == Counter({k: v for k, v in want.items() if v}) and mixing.take(df.limit(0)).count() == 0
+
+
 def test_targets_fill_up(spark):
     sizes = {"a": 1, "b": 1000, "c": 50, None: 7, "d": 0}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -333,6 +420,32 @@ def test_quality_classifier(docs, rows, empty, labels):
     assert quality_classifier.keep_good(docs, grades).columns == docs.columns
 
 
+def test_grades_against_brute_force(docs, rows, labels):
+    """Features, score, expected grade, tail and decision from the fitted model, computed anew for each text."""
+    grades = quality_classifier.grades_from_labels(labels)
+    model, again = (quality_classifier.train(docs, grades, 3) for _ in range(2))
+    assert (model.weights == again.weights).all() and (model.thresholds == again.thresholds).all()
+    kinds = lambda w: "".join("A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or c >= "\x80" else "0" if "0" <= c <= "9" else c for c in w)
+    got = defaultdict(list)
+    for r in quality_classifier.grade_documents(docs, grades).collect():
+        got[r.doc_id].append(r)
+    size = 1 << quality_classifier.BITS
+    for i, t, *_ in rows:
+        data = (t or "").encode()
+        words = data.split()
+        score = 0.0
+        for w in words:
+            shape = re.sub(rb"(.)\1+", rb"\1", kinds(w.decode("latin-1")).encode("latin-1"), flags=re.S)[:12]
+            score += (model.weights[zlib.crc32(b"w" + w.lower()) % size] + model.weights[zlib.crc32(b"s" + shape) % size]) / len(words)
+        n, chars, lines = max(1, len(words)), max(1, len(data)), [x for x in data.split(b"\n") if x.strip()]
+        share = lambda some: sum(b in some for b in data) / chars
+        dense = [sum(a == b for a, b in zip(words, words[1:])) / n, 1 - len(set(words)) / n, share(quality_classifier._SYMBOLS), share(bytes(range(65, 91))), share(b"0123456789"), 1 - len(set(lines)) / max(1, len(lines)), math.log1p(n) / 10]
+        score += sum(max(-5, min(5, (x - c) / s)) * w for x, c, s, w in zip(dense, model.centre, model.scale, model.dense_weights, strict=True))
+        below = [1 / (1 + math.exp(-max(-40, min(40, c - score)))) for c in model.thresholds]
+        r = got[i][0]
+        assert abs(r.expected_grade - sum(1 - b for b in below)) < 1e-5 and abs(r.tail_prob - (1 - below[0])) < 1e-5 and r.kept == (r.tail_prob >= 0.5), i
+
+
 def test_ordinal_regression_learns():
     rnd = np.random.default_rng(0)
     n = 600
@@ -517,13 +630,39 @@ def brute_groups(items, k, percent):
 
 def test_near_duplicates(spark, docs, rows, empty):
     got = near_dedup.near_duplicates(docs, 3, 85).collect()
-    assert len(got) == len(rows) and near_dedup.near_duplicates(empty).count() == 0
+    assert len(got) == len(rows) and near_dedup.near_duplicates(empty).count() == 0 == near_dedup.keep_one(empty).count()
     want = brute_groups([(i, t) for i, t, *_ in rows if i is not None], 3, 85)
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rnd = random.Random(4)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    base, alone, other = prose(100), prose(60), prose(60)
+    near = lambda t, k: " ".join([*t.split()[:-1], f"end{k}"])
+    rows = [(1, base), (None, near(base, 1)), (None, alone), (None, near(alone, 2)), (5, near(base, 3)), (5, other), (5, other), (6, near(other, 4)), (7, None), (None, ""), (7, None)]
+    df = spark.createDataFrame([(i, t, 3, "x", 1) for i, t in rows], "doc_id long, text string, row_a int, node string, set int").repartition(3)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == Counter({(1, 1, True): 1, (None, 1, False): 1, (None, None, True): 3, (5, 1, False): 1, (5, 5, True): 2, (6, 5, False): 1, (7, 7, True): 2})
+    kept = near_dedup.keep_one(df.drop("row_a"))
+    assert kept.columns == [c for c in df.columns if c != "row_a"]
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    (of_alone,) = [t for (i, t) in found if i is None and t]
+    assert of_alone in (alone, near(alone, 2))
+    assert found == Counter({(1, base): 1, (None, of_alone): 1, (5, other): 1, (7, None): 1, (None, ""): 1})
+
+
+def test_hot_nodes_of_components(spark):
+    """A star with far more links than a task should have, and chains."""
+    code = lambda i: i.to_bytes(16, "big")
+    links = [(code(0), code(i)) for i in range(1, 3000)] + [(code(5000 + i), code(5001 + i)) for i in range(40)] + [(code(7000), code(9000)), (code(2999), code(9000))]
+    df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in links], "a binary, b binary").repartition(7)
+    got = {bytes(r.node): bytes(r.comp) for r in near_dedup.components(df).collect()}
+    assert len(got) == 3000 + 41 + 2 and all(got[code(i)] == code(0) for i in [*range(3000), 7000, 9000]) and all(got[code(5000 + i)] == code(5000) for i in range(41))
+
+
 def test_near_duplicates_chain(spark):
     """A large group whose members are linked through one another, and texts that share a passage but aren't links."""
     rnd = random.Random(9)
@@ -540,8 +679,9 @@ def test_near_duplicates_chain(spark):
         items.append((i, " ".join(walk)))
     passage = " ".join(word() for _ in range(60))
     items += [(i, passage + " " + " ".join(word() for _ in range(40))) for i in range(300, 360)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(items, "doc_id long, text string").repartition(4), 3, 85).collect()}
-    assert got == brute_groups(items, 3, 85)
+    for block_bytes in (near_dedup.BLOCK_BYTES, 20_000):  # whole buckets, and buckets of several blocks
+        found = near_dedup.near_duplicates(spark.createDataFrame(items, "doc_id long, text string").repartition(4), 3, 85, block_bytes)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_groups(items, 3, 85)
 
 
 def test_superminhash_estimates_overlap():

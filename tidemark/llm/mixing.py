@@ -10,8 +10,9 @@ A source may hold any share of all rows: rows are range-partitioned by (source,
 partitions, and prefix sums are added up over partitions. What moves holds no text. Only per-source and per-partition
 sums meet in one task.
 
-Null and empty texts have size 0 and are taken 0 words. A null id draws the key of the null hash. Repeated rows have
-equal keys and stand side by side; rows are never merged. An empty table gives no rows. Unknown columns are ignored.
+Null and empty texts have size 0 and are taken 0 words. A row with a null id draws its key from its text. Repeated rows
+have equal keys and stand side by side; rows are never merged. An empty table gives no rows. Unknown columns are ignored
+by mix; take returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, tasks_for, written
+from tidemark.llm.common import WORD, row_key, tasks_for, written
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -63,12 +64,14 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPO
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, quality: Column | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and the sampling key of every row."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, quality: Column | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: tuple = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and the sampling key of every row, and what `keys` (row_key) gives."""
     text = docs[text_col].cast("string")
     weight = text_quality(text) if quality is None else quality
-    key = -F.log(uniform(docs[id_col].cast("long"), seed=seed)) / weight
-    light = written(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"), key.alias("key")), "sizes")
+    own = docs[id_col].cast("long")
+    key = -F.log(uniform(F.coalesce(own, F.xxhash64(text)), seed=seed)) / weight
+    light = written(docs.select(own.alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"), *keys), "sizes")
+    carried = [c for c in light.columns if c in ("row_a", "row_b")]
     placed = written(light.repartitionByRange(tasks_for(docs), F.col("source").asc_nulls_last(), "key", "doc_id", "size").withColumn("part", F.spark_partition_id()), "mix")
     by_part = placed.groupBy("part", "source").agg(F.sum("size").alias("part_size"))
     targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
@@ -81,4 +84,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, quality
     full = F.when(total > 0, F.floor(target / total)).otherwise(0)
     rest = target - full * total
     more = (F.col("before") + F.col("inside") - size / 2 <= rest) & (rest > 0)
-    return rows.select("doc_id", F.col("p.source").alias("source"), "size", "source_size", "target", (size * (full + F.when(more, 1).otherwise(0))).cast("long").alias("taken"), "key")
+    return rows.select("doc_id", F.col("p.source").alias("source"), "size", "source_size", "target", (size * (full + F.when(more, 1).otherwise(0))).cast("long").alias("taken"), "key", *carried)
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them (mix's options). Rows are told apart by hashes of all they hold, so
+    ids may repeat or be null."""
+    times = mix(docs, keys=tuple(row_key(docs)), **options).where("taken > 0").groupBy("row_a", "row_b").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("row_times"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(docs)).dropDuplicates(["row_a", "row_b"])
+    return rows.join(times, ["row_a", "row_b"]).select("row", F.explode(F.sequence(F.lit(1), "row_times"))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
