@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_dedup, packing, quality_classifier, quality_rules
 from tidemark.llm.common import documents, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules don't reject."""
+    """Documents that the method's own rules don't reject. The base rule of op8 (ten words, 20 % in repeated windows) is left
+    out: it would take clean short documents."""
     return quality_rules.keep_unrepetitive(docs)
 
 
@@ -21,14 +21,12 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): the one with the smallest id; repeated rows once."""
-    kept = near_dedup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return near_dedup.keep_one(docs, k=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"])).withColumn("copy_number", F.explode(F.sequence(F.lit(1), "times"))).select(*[docs[c] for c in docs.columns])
+    return mixing.take(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
