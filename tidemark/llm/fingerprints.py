@@ -119,7 +119,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = max(1, ranked.count())
     previous = ranked.select(F.col("row_a").alias("to_a"), F.col("row_b").alias("to_b"), F.col("copies").alias("to_copies"), ((F.col("rank") + 1) % F.lit(total)).alias("rank"))
     routes = ranked.join(previous, "rank").select(*key, "to_a", "to_b", "to_copies")
-    one = Window.partitionBy(*key).orderBy("mark")
+    one = Window.partitionBy(*key).orderBy("doc_id", "mark")  # the same columns for both uses, so that texts are dealt out once
     own = marked.withColumn("place", F.row_number().over(one)).where("place = 1").select("doc_id", "text", *key)
 
     sent = own.join(routes, key).select(F.col("to_a").alias("row_a"), F.col("to_b").alias("row_b"), F.col("to_copies").alias("copies"), F.col("text").alias("next_text"))
