@@ -125,24 +125,23 @@ class Index:
         self.frequent = self.frequent[df[self.frequent] > len(entries) / 64]
         self.place = np.full(len(self.idf), -1)
         self.place[self.frequent] = np.arange(len(self.frequent))
-        order = alike(self._dense(vectors).astype(np.float32))
+        order = alike(self._dense(vectors, np.float32))
         vectors = [vectors[i] for i in order]
         self.ids, self.n, self.positive = np.asarray(self.ids)[order], self.n[order], self.positive[order]
         terms = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
         by_term = np.argsort(terms, kind="stable")
-        self.docs = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])[by_term]
+        self.docs = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(at) for at, _ in vectors])[by_term]
         self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[by_term]
         self.starts = np.concatenate([[0], np.cumsum(df)])
         self.edges = np.append(np.arange(0, len(vectors), BLOCK), len(vectors))
-        dense = self._dense(vectors)
-        self.most = np.maximum.reduceat(dense, self.edges[:-1], axis=0).astype(np.float32) if len(vectors) else np.zeros((0, len(self.frequent)), np.float32)
+        self.most = np.maximum.reduceat(self._dense(vectors, np.float32), self.edges[:-1], axis=0) if len(vectors) else np.zeros((0, len(self.frequent)), np.float32)
         return order
 
-    def _dense(self, vectors: list) -> np.ndarray:
+    def _dense(self, vectors: list, kind=np.float64) -> np.ndarray:
         """(vectors, frequent terms)."""
         at, w = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in vectors)]), np.concatenate([np.zeros(0), *(x for _, x in vectors)])
         row = np.repeat(np.arange(len(vectors)), [len(x) for x, _ in vectors])
-        place, out = self.place[at], np.zeros((len(vectors), len(self.frequent)))
+        place, out = self.place[at], np.zeros((len(vectors), len(self.frequent)), kind)
         out[row[place >= 0], place[place >= 0]] = w[place >= 0]
         return out
 
@@ -170,7 +169,7 @@ class Index:
 
     def home(self, some: list) -> np.ndarray:
         """The block of the largest bound by frequent terms, to take like texts together."""
-        return (self._dense([self.vector(c) for c in some]).astype(np.float32) @ self.most.T).argmax(1)
+        return (self._dense([self.vector(c) for c in some], np.float32) @ self.most.T).argmax(1)
 
     def nearest_of(self, some: list, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
         """Exact: for each text (its counts), entries of the k largest cosines above 0 (ties: smallest ids), and these."""
