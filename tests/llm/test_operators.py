@@ -498,6 +498,26 @@ def test_toxicity(spark, docs, rows, empty):
     assert toxicity.score_toxicity(empty, labelled).count() == 0
 
 
+def test_clashing_labels_and_texts(spark):
+    """Of an id with several labels or texts one is chosen, whatever the order and partitions of rows."""
+    texts = [(i, f"{'snark grump' if i % 2 else 'calm quiet'} words number{i} here") for i in range(40)]
+    texts += [(1, "another text of the first"), (2, None), (3, "zz grump")]
+    marks = [(i, i % 2) for i in range(40)] + [(4, 1), (5, 0), (6, 1), (None, 1), (7, None)]
+    seen, graded = set(), set()
+    for seed in range(3):
+        random.Random(seed).shuffle(texts)
+        random.Random(seed + 9).shuffle(marks)
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3 + seed)
+        labels = spark.createDataFrame(marks, "doc_id long, label int").repartition(2 + seed)
+        index = toxicity.build_index(docs, labels)
+        assert index.n.sum() == 40 and index.positive.sum() == 22
+        seen.add((*sorted(index.vocabulary), *index.idf.round(12).tolist(), *index.ids.tolist(), *index.curve))
+        model = quality_classifier.train(docs, labels.withColumnRenamed("label", "grade"), 2)
+        graded.add((*model.weights.tolist(), *model.thresholds.tolist()))
+    assert len(seen) == 1 == len(graded)
+    assert "another" in index.vocabulary and "zz" not in index.vocabulary
+
+
 def test_toxicity_counts_all_words(spark):
     """Words without any lean to a label have coordinates too, with IDF over all documents."""
     texts = [(0, "alpha beta beta gamma"), (1, "alpha delta"), (2, "beta Epsilon."), (3, "alpha gamma"), (4, "alpha"), (5, None), (6, "zeta eta")]

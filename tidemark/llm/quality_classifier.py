@@ -111,13 +111,15 @@ def _features_task(batches):
 
 
 def train(docs: DataFrame, graded: DataFrame, n_grades: int, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
-    """graded: (doc_id, grade 0..n_grades-1). At most max_train of its rows, chosen by a hash of the id, are used."""
-    sample = graded.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_train)
+    """graded: (doc_id, grade 0..n_grades-1). At most max_train of its rows, chosen by a hash of the id, are used.
+    Of an id's clashing grades the smallest counts, of its texts the smallest."""
+    known = graded.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = (
-        texts.join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id")  # max_train rows at most
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
+        texts.join(F.broadcast(sample), "doc_id")  # max_train rows at most
+        .groupBy("doc_id", "grade")
+        .agg(F.min("text").alias("text"))
         .mapInArrow(_features_task, "doc_id long, grade int, cols array<int>, vals array<float>, extra array<double>")
         .toArrow()
         .sort_by("doc_id")

@@ -19,7 +19,8 @@ turns votes into calibrated scores. Evidence: ids of the nearest examples.
 At most max_examples labelled rows are indexed, chosen by a hash of the id (a documented bound); every row is scored
 over its whole text. Null and empty texts, and texts without any word of an example, have no neighbours: their score is
 that of a vote of 0. Without examples every score is 0. Repeated rows get equal scores; null ids are returned as they
-are; unknown columns are ignored.
+are; unknown columns are ignored. Where labels of an id clash, it counts as toxic; where its texts do, the smallest is
+the example.
 """
 
 from __future__ import annotations
@@ -292,9 +293,10 @@ def _counts_task(vocabulary: dict[str, int]):
 
 def build_index(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index | None:
     """labelled: (doc_id, label 0/1); the caller has removed what mustn't be learnt from."""
-    sample = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
+    known = labelled.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    examples = written(texts.join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text").dropDuplicates(["doc_id"]), "toxic-examples")
+    examples = written(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxic-examples")
     sums = {r.label: r["count"] for r in examples.groupBy("label").count().collect()}
     n_pos, n_neg = sums.get(1, 0), sums.get(0, 0)
     if not n_pos + n_neg:
