@@ -10,24 +10,27 @@ given, keeps the smallest hashes alone.
 A text with fewer words than k is one anchor, and one without any closed syncmer takes all its k-mers. Null and empty
 texts have an empty fingerprint; two empty fingerprints are alike (1.0), an empty one and another are not (0.0).
 
-Order. The next document of each is found over a table of ids alone: it is range-partitioned and sorted, numbered within
-partitions, and the partitions' row counts give the rest. Rows that share an id are ordered by a hash of their texts; a
-null id comes first. Rows equal in both are one row of all these tables, with their number: each of them but the last is
-followed by its own text, the last by the next of the others. Texts are shuffled once, by hashes of id and text, so that
-no id is hot; after that each moves once more, to the previous document, which takes its start and its anchors (these
-would weigh more than the text).
+Order. Over a table of ids alone, sorted by range, every m-th key (id, hash of the text) starts a chunk; the driver gets
+these keys, CHUNKS and a task's worth at most, and each row finds its chunk by binary search among them. A row that
+starts a chunk goes to the chunk before it, too (the first of all: to the last), so that within chunks each row stands
+before its next one. Texts are shuffled once, and each text's anchors are found once. Rows that share an id are ordered
+by a hash of their texts; a null id comes first. Rows equal in both, where there are more of them than a chunk's share,
+are one row with their number: each of them but the last is followed by its own text, the last by the next of the others.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, offsets_by_part, row_key, tasks_for, written
+from tidemark.llm.common import GAP, row_key, tasks_for, written
 
 K, S = 5, 2
+CHUNKS = 1 << 17  # at most, as the driver and all tasks hold their first keys
+PER_TASK, COPIES = 8, 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,36 +106,73 @@ def fingerprint(docs: DataFrame, k: int = K, s: int = S, size: int | None = None
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).select("doc_id", anchors(F.col("text"), k, s, size).alias("anchors")).withColumn("fingerprint", shown(F.col("anchors")))
 
 
+def starts_of(light: DataFrame, rows_each: int) -> list[tuple[int | None, int]]:
+    """Ascending keys (id, mark), of every rows_each-th row of light."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row_a")]
+    placed = light.repartitionByRange(tasks_for(light), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    some = placed.where(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) % rows_each == 0).select("doc_id", "mark").distinct().collect()
+    return sorted(((r.doc_id, r.mark) for r in some), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+
+
+def start_at(starts: list[tuple[int | None, int]], i: Column) -> Column:
+    ids, marks = (F.from_json(F.lit(json.dumps([k[j] for k in starts])), "array<bigint>") for j in (0, 1))  # folded to constants
+    return F.struct(F.get(ids, i).alias("doc_id"), F.get(marks, i).alias("mark"))
+
+
+def chunk_of(starts: list[tuple[int | None, int]], key: Column) -> Column:
+    """The last chunk whose first key is at most this one, by binary search; nulls come first, as in the order of structs."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(starts).bit_length()))])
+
+    def step(at: Column, more: Column) -> Column:
+        return F.when((at + more < len(starts)) & (start_at(starts, at + more) <= key), at + more).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def once_if_hot(marked: DataFrame, light: DataFrame, limit: int) -> DataFrame:
+    """marked with copies; of rows with more than limit copies, one (there are fewer such rows than rows / limit)."""
+    hot = light.where(F.col("copies") > limit).select("row_a", "row_b", "copies")
+    if hot.isEmpty():
+        return marked.withColumn("copies", F.lit(1).cast("long"))
+    flagged = marked.join(F.broadcast(hot), ["row_a", "row_b"], "left").select(*marked.columns, "copies")
+    first = Window.partitionBy("row_a", "row_b").orderBy("mark")
+    single = flagged.where("copies is not null").withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    return flagged.where("copies is null").fillna(1, ["copies"]).unionByName(single)
+
+
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text (the last half replaced by the next document's start) and their likeness."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
     marked = texts.withColumn("mark", F.xxhash64("text"))
     marked = marked.select("*", *row_key(marked, "doc_id", "mark"))
-    key = ["row_a", "row_b"]
-    light = marked.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.min(F.length("text")).alias("n"), F.count("*").alias("copies"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row_a")]
-    placed = written(light.repartitionByRange(tasks_for(docs), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "order")
-    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("row", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    offsets = offsets_by_part(placed.withColumn("one", F.lit(1).cast("long")), "part", {"before": "one"})
-    ranked = written(placed.join(offsets, "part").select(*key, "n", "copies", (F.col("before") + F.col("row")).alias("rank")), "ranks")
-    total = max(1, ranked.count())
-    previous = ranked.select(F.col("row_a").alias("to_a"), F.col("row_b").alias("to_b"), F.col("copies").alias("to_copies"), ((F.col("rank") + 1) % F.lit(total)).alias("rank"))
-    routes = ranked.join(previous, "rank").select(*key, "to_a", "to_b", "to_copies")
-    one = Window.partitionBy(*key).orderBy("doc_id", "mark")  # the same columns for both uses, so that texts are dealt out once
-    own = marked.withColumn("place", F.row_number().over(one)).where("place = 1").select("doc_id", "text", *key)
-
-    sent = own.join(routes, key).select(F.col("to_a").alias("row_a"), F.col("to_b").alias("row_b"), F.col("to_copies").alias("copies"), F.col("text").alias("next_text"))
-    full = own.join(sent, key)
-    last = F.struct(F.col("next_text").alias("next_text"), F.lit(1).cast("long").alias("times"))
-    others = F.struct(F.col("text").alias("next_text"), (F.col("copies") - 1).alias("times"))
-    followed = full.select("doc_id", "text", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("f")).select("doc_id", "text", "f.next_text", "f.times")
+    light = written(marked.groupBy("row_a", "row_b").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.count("*").alias("copies")), "order")
+    size = light.agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).first()
+    chunks = min(CHUNKS, PER_TASK * tasks_for(docs))
+    starts = starts_of(light, max(1, -(-size.rows // chunks))) or [(None, 0)]
+    rows = once_if_hot(marked, light, max(COPIES, (size.copies or 0) // chunks))
+
+    own = rows.withColumn("chunk", chunk_of(starts, F.struct("doc_id", "mark")))
+    place = lambda chunk, guest: F.struct(chunk.alias("chunk"), F.lit(guest).alias("guest"))
+    before = F.pmod(F.col("chunk") - 1, F.lit(len(starts)))
+    starting = F.struct("doc_id", "mark") == start_at(starts, F.col("chunk"))
+    places = F.when(starting, F.array(place(F.col("chunk"), 0), place(before, 1))).otherwise(F.array(place(F.col("chunk"), 0)))
+    dealt = own.withColumn("p", F.explode(places)).select("doc_id", "text", "mark", "row_a", "copies", "p.chunk", "p.guest")
+    parts = tasks_for(docs)
+    dealt = dealt.withColumn("part", F.pmod("chunk", F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
+    order = [F.col("guest"), F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row_a")]
+    sorted_rows = dealt.sortWithinPartitions("part", "chunk", *order).withColumn("a", anchors(F.col("text")))
+    following = Window.partitionBy("part", "chunk").orderBy(*order)
+    full = sorted_rows.withColumns({"next_text": F.lead("text").over(following), "c": F.lead("a").over(following)}).where("guest = 0")
+    last = F.struct(F.col("next_text").alias("next_text"), F.col("c").alias("c"), F.lit(1).cast("long").alias("times"))
+    others = F.struct(F.col("text").alias("next_text"), F.col("a").alias("c"), (F.col("copies") - 1).alias("times"))
+    followed = full.withColumn("f", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last)))).select("doc_id", "text", "a", "f.next_text", "f.c", "f.times")
     n = F.length("text")
     start = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int"))
-    edited = followed.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", F.concat(start, F.substring(F.col("next_text"), F.lit(1), F.floor(n / 2).cast("int"))).alias("edited"), "times")
-    found = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("b"), anchors(F.col("next_text")).alias("c"), "times")
-    rows = found.select(
+    edited = followed.select("doc_id", n.cast("long").alias("n_chars"), "a", "c", F.concat(start, F.substring(F.col("next_text"), F.lit(1), F.floor(n / 2).cast("int"))).alias("edited"), "times")
+    found = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", anchors(F.col("edited")).alias("b"), "c", "times")
+    shown_rows = found.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("a")).alias("fingerprint"), shown(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), shift(F.col("a"), F.col("b")).alias("edited_shift"), "times",
     )
-    return rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
+    return shown_rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
