@@ -10,8 +10,8 @@ the index, with counts of both labels.
 Index. Entries that are alike stand side by side (spherical k-means) and are cut into blocks of BLOCK. For each term and
 block the index keeps the block's largest weight. What rare terms give to a cosine is summed from their postings; what
 frequent terms can give at most, from the block maxima. A few texts at a time score the blocks of their largest bounds,
-and then all blocks whose bound reaches the k-th cosine found so far; no other block can hold a nearer entry, so the k
-nearest are exact. Texts whose best blocks are the same are taken together; this and the clusters change speed alone.
+and then all blocks whose bound reaches the k-th cosine found so far; no other block can hold a nearer entry. This is
+done in single precision, less what that may lose, and what may be among the k nearest in double, so these are exact. Texts whose best blocks are the same are taken together; this and the clusters change speed alone.
 
 Neighbours vote with weight cosine^4 times the root of their count; a logistic curve, fitted on leave-one-out votes,
 turns votes into calibrated scores. Evidence: ids of the nearest examples.
@@ -41,9 +41,10 @@ LEAN = 10.0
 K, AT_ONCE, SORTED = 15, 64, 2048
 FREQUENT = 1024  # terms with dense rows; for speed alone
 BLOCK, CLUSTERS = 16, 128
-SLACK = 1e-5  # more than single precision loses in a bound
+SLACK = 1e-4  # more than single precision loses in a product of unit vectors
 CACHE = 300_000
 _EDGES = re.compile(r"^\W+|\W+$")
+_SIGNS = bytes(c for c in range(33, 127) if not (chr(c).isalnum() or chr(c) == "_"))  # those of ASCII
 
 
 def term_of(word: str) -> str:
@@ -68,7 +69,8 @@ class Terms(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        out = self.vocabulary.get(term_of(word.decode("utf-8", "surrogatepass")), -1)
+        plain = word.strip(_SIGNS)  # isalnum() is true for letters and digits of ASCII alone
+        out = self.vocabulary.get(plain.lower().decode() if plain.isalnum() else term_of(word.decode("utf-8", "surrogatepass")), -1)
         if len(self) < CACHE and len(word) < 64:
             self[word] = out
         return out
@@ -109,7 +111,8 @@ class Index:
     place: np.ndarray = None  # of each term among them, or -1
     edges: np.ndarray = None  # first entry of each block, and the end
     most: np.ndarray = None  # (blocks, frequent): largest weights
-    dense: np.ndarray = field(default=None, repr=False)  # (entries, frequent)
+    dense: np.ndarray = field(default=None, repr=False)  # (entries, frequent), in single precision
+    rows: tuple = field(default=None, repr=False)  # the same in double precision: starts of entries, places, weights
     curve: tuple[float, float] = (1.0, 0.0)
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +150,26 @@ class Index:
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"dense": None}  # each worker fills its own
+        return self.__dict__ | {"dense": None, "rows": None}  # each worker fills its own
 
     def _filled(self) -> np.ndarray:
         if self.dense is None:
-            self.dense = np.zeros((len(self.ids), len(self.frequent)))
-            for k, t in enumerate(self.frequent):
-                mine = slice(self.starts[t], self.starts[t + 1])
-                self.dense[self.docs[mine], k] = self.weights[mine]
+            n = self.starts[self.frequent + 1] - self.starts[self.frequent]
+            posting = np.arange(n.sum()) + np.repeat(self.starts[self.frequent] - np.cumsum(n) + n, n)
+            entry, place, w = self.docs[posting], np.repeat(np.arange(len(n), dtype=np.int32), n), self.weights[posting]
+            self.dense = np.zeros((len(self.ids), len(n)), np.float32)
+            self.dense[entry, place] = w
+            order = np.argsort(entry, kind="stable")
+            self.rows = np.concatenate([[0], np.cumsum(np.bincount(entry, minlength=len(self.ids)))]), place[order], w[order]
         return self.dense
 
+    def _exact(self, left: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """What frequent terms give to the cosines of a text and some entries, in double precision."""
+        starts, place, w = self.rows
+        n = starts[e + 1] - starts[e]
+        at = np.arange(n.sum()) + np.repeat(starts[e] - np.cumsum(n) + n, n)
+        return np.bincount(np.repeat(np.arange(len(e)), n), left[place[at]] * w[at], len(e))
+
     def _rare(self, vectors: list) -> np.ndarray:
         """(texts, entries): what the other terms give to cosines."""
         at, w = np.concatenate([x for x, _ in vectors]), np.concatenate([x for _, x in vectors])
@@ -176,28 +189,33 @@ class Index:
         """Exact: for each text (its counts), entries of the k largest cosines above 0 (ties: smallest ids), and these."""
         vectors, dense = [self.vector(c) for c in some], self._filled()
         left, rare = self._dense(vectors), self._rare(vectors)
-        bound = left.astype(np.float32) @ self.most.T + np.maximum.reduceat(rare, self.edges[:-1], axis=1)
+        single = left.astype(np.float32)
+        bound = single @ self.most.T + np.maximum.reduceat(rare, self.edges[:-1], axis=1)
 
-        def scored(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def screened(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             e = np.flatnonzero(np.repeat(blocks, np.diff(self.edges)))
-            return e, left @ dense[e].T + rare[:, e]
+            return e, single @ dense[e].T + rare[:, e]
+
+        def least_of(s: np.ndarray) -> np.ndarray:
+            """No entry with a cosine below these is among the k nearest."""
+            n = s.shape[1]
+            return np.partition(s, n - k, axis=1)[:, n - k] - 2 * SLACK if k < n else np.zeros(len(s))
 
         blocks = bound.shape[1]
         first, tops = np.zeros(blocks, bool), min(blocks, -(-k // BLOCK) + 3)
         first[np.argpartition(-bound, tops - 1, axis=1)[:, :tops]] = True
-        e, s = scored(first)
-        least = np.partition(s, len(e) - k, axis=1)[:, len(e) - k] if k < len(e) else np.zeros(len(some))
-        rest = (bound + SLACK >= least[:, None]) & (bound > 0)
+        e, s = screened(first)
+        rest = (bound >= least_of(s)[:, None]) & (bound > 0)
         rest = rest.any(0) & ~first
         if rest.any():
-            more, s_more = scored(rest)
+            more, s_more = screened(rest)
             e, s = np.concatenate([e, more]), np.concatenate([s, s_more], axis=1)
         out = []
-        for cosine in s:
-            least = np.partition(cosine, len(e) - k)[len(e) - k] - 1e-11 if k < len(e) else 0.0
-            at = np.flatnonzero((cosine >= least) & (cosine > 0))
-            at = at[np.lexsort((self.ids[e[at]], -cosine[at].round(12)))[:k]]
-            out.append((e[at], cosine[at]))
+        for i, least in enumerate(least_of(s)):
+            at = e[(s[i] >= least) & (s[i] > 0)]
+            cosine = self._exact(left[i], at) + rare[i, at]
+            order = np.lexsort((self.ids[at], -cosine.round(12)))[:k]
+            out.append((at[order], cosine[order]))
         return out
 
     def nearest(self, counts, k: int = K) -> tuple[np.ndarray, np.ndarray]:
