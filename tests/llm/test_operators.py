@@ -181,6 +181,30 @@ def test_fingerprints_of_many_copies(spark):
     assert [r.near_next for r in alone] == [1.0, 1.0]
 
 
+def test_fingerprints_across_chunks(spark, monkeypatch):
+    """Chunks of one row or of many, ids that repeat or are null, and copies above and below the limit give the same."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, *range(12)]), " ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(9)))) for _ in range(60)] + [(5, "a b c d e f g")] * 30 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    for chunks, copies in ((1, 64), (3, 64), (3, 2), (1 << 17, 64), (1 << 17, 1)):
+        monkeypatch.setattr(fingerprints, "CHUNKS", chunks)
+        monkeypatch.setattr(fingerprints, "PER_TASK", 100)
+        monkeypatch.setattr(fingerprints, "COPIES", copies)
+        seen.append(Counter((r.doc_id, r.fingerprint, r.edited_sha256, r.near_next) for r in fingerprints.edited_pairs(df).collect()))
+    assert sum(seen[0].values()) == len(rows) and all(x == seen[0] for x in seen)
+
+
+def test_fingerprints_find_their_chunk(spark):
+    keys = [(None, -3), (None, 8), (-5, 0), (2, -9), (2, 9), (70, 1)]
+    asked = [(None, -3), (None, 0), (None, 9), (-9, 0), (-5, 0), (2, -9), (2, 8), (2, 9), (69, 0), (70, 1), (99, 0)]
+    for n in range(1, len(keys) + 1):
+        df = spark.createDataFrame([(*k, i) for i, k in enumerate(asked)], "doc_id long, mark long, i int").coalesce(1)
+        got = [r.c for r in df.select("i", fingerprints.chunk_of(keys[:n], F.struct("doc_id", "mark")).alias("c")).orderBy("i").collect()]
+        order = lambda k: (k[0] is not None, k[0] or 0, k[1])
+        assert got == [max(sum(order(s) <= order(k) for s in keys[:n]) - 1, 0) for k in asked]
+
+
 # -- 3
 
 
