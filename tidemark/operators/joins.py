@@ -49,12 +49,11 @@ def as_of(left: DataFrame, right: DataFrame, time: str, key: list[str], toleranc
     rows_l = own.select(*[F.col(f"`{k}`") for k in key], buckets.BUCKET, TICKS, F.lit(1).alias(SIDE), F.lit(None).cast(ordinal_type).alias("__ord"), payload_l.alias(LEFT), F.lit(None).cast(other.select(payload_r.alias("x")).schema["x"].dataType).alias(RIGHT))
     rows_r = other.select(*[F.col(f"`{k}`") for k in key], buckets.BUCKET, TICKS, F.lit(right_side).alias(SIDE), "__ord", F.lit(None).cast(own.select(payload_l.alias("x")).schema["x"].dataType).alias(LEFT), payload_r.alias(RIGHT))
     both = rows_l.unionByName(rows_r)
-    part = Window.partitionBy(*[F.col(f"`{k}`") for k in key], buckets.BUCKET).orderBy(TICKS, SIDE, "__ord")
+    # the future is read backwards: a frame that ends with its partition is folded anew for each row
+    order = [F.col(c).desc() if future else F.col(c).asc() for c in (TICKS, SIDE, "__ord")]
+    part = Window.partitionBy(*[F.col(f"`{k}`") for k in key], buckets.BUCKET).orderBy(*order)
     found = F.when(F.col(RIGHT).isNotNull(), F.struct(F.col(TICKS).alias("t"), F.col(RIGHT).alias("r")))
-    if future:
-        seen = F.first(found, ignorenulls=True).over(part.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        seen = F.last(found, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.last(found, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0))
     near = F.abs(F.col("__seen.t") - F.col(TICKS)) <= reach
     out = both.withColumn("__seen", seen).where(F.col(LEFT).isNotNull()).withColumn("__seen", F.when(near, F.col("__seen")))
     return out.select(
