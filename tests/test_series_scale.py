@@ -29,3 +29,33 @@ def test_future_join_folds_each_row_once(spark, strict):
     later = sorted(right)
     want = {i: next((j for u, j in later if (u > t if strict else u >= t) and u <= t + 7), None) for t, i in left}
     assert got == want
+
+
+def test_z_score_out_of_sample_with_equal_values_before(spark):
+    """The deviation of equal values is 0, whatever the last one is; rounding must not make it a small number."""
+    rnd = random.Random(2)
+    xs = [29.27] * 60 + [1209.13, 0.1] + [rnd.uniform(0, 100) for _ in range(20)]
+    rows = [(t // 2, t, x if t != 70 else None) for t, x in enumerate(xs)]
+    frame = TimeSeriesFrame(spark.createDataFrame(rows, "time long, seq int, x double"), order_by="seq")
+    z = S.z_score("x", False)
+
+    def brute(upto):
+        some = [x for _, _, x in rows[: upto + 1] if x is not None]
+        before = np.array(some[:-1])
+        return None if len(before) < 2 or before.std() < 1e-9 else (some[-1] - before.mean()) / before.std(ddof=1)
+
+    running = {r.seq: r.x_zScore for r in frame.add_summary_columns(z).collect()}
+    windows = {r.seq: r.x_zScore for r in frame.summarize_windows(W.past_absolute_time(1000), z).where("seq % 2 = 1").collect()}
+    for seq in range(len(rows)):
+        grouped = [frame.filter(f"seq <= {seq}").summarize(z).collect()[0].x_zScore] if seq in (1, 59, 60, 61, 70, 81) else []
+        for got in [running[seq], *([windows[seq]] if seq in windows else []), *grouped]:
+            want = brute(seq)
+            assert np.isnan(got) if want is None else got == pytest.approx(want, rel=1e-9), (seq, got, want)
+
+
+def test_z_score_out_of_sample_with_ties(spark):
+    """Of rows that nothing tells apart one is the last; the others count."""
+    frame = TimeSeriesFrame(spark.createDataFrame([(0, 1.0), (0, 4.0), (1, 7.0), (1, 7.0), (1, 7.0), (1, 2.0)], "time long, x double"))
+    before = np.array([1.0, 4.0, 7.0, 7.0, 2.0])
+    want = (7.0 - before.mean()) / before.std(ddof=1)
+    assert frame.summarize(S.z_score("x", False)).collect()[0].x_zScore == pytest.approx(want)

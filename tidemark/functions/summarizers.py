@@ -254,16 +254,13 @@ def z_score(column: str, in_sample: bool) -> Summarizer:
 
     def body(r):
         x = _d(column)
-        order = F.struct(r.state.ticks, *r.state.order)
-        last = r.other2(x, order, F.max_by)
-        n, mu, m2 = r.count(F.col(column)), r.other(x, F.avg), r.other(x, F.var_pop) * r.count(F.col(column))
         if in_sample:
-            n_used, mean_used, sd = n, mu, _root(F.try_divide(m2, n - 1))
-        else:  # take the last value out of mean and squares
-            n_used = n - 1
-            mean_used = F.try_divide(mu * n - last, n_used)
-            sd = _root(F.greatest(F.try_divide(m2 - (last - mu) * (last - mean_used), n_used - 1), F.lit(0.0)))
-        return [(f"{column}_zScore", F.when(n_used > 1, _ratio(last - mean_used, sd)).otherwise(F.lit(NAN)))]
+            last = r.other2(x, F.struct(r.state.ticks, *r.state.order), F.max_by)
+            n, mu, m2 = r.count(F.col(column)), r.other(x, F.avg), r.other(x, F.var_pop) * r.count(F.col(column))
+            sd = _root(F.try_divide(m2, n - 1))
+        else:
+            last, n, mu, sd = r.without_last(x)
+        return [(f"{column}_zScore", F.when(n > 1, _ratio(last - mu, sd)).otherwise(F.lit(NAN)))]
 
     return Simple((column,), body)
 

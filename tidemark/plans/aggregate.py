@@ -99,7 +99,7 @@ def running(df: DataFrame, summarizer, time: str, key: list[str], order_by: tupl
     width = None if bucket is None else length_in_ticks(bucket, time_type(df, time))
     state, outputs = asked(width)
     parts = state.primitives.found
-    others = any(p.kind == "other" for p in parts.values())
+    others = state.scan.bound or any(p.kind == "other" for p in parts.values())
     if bucket is not None and others:
         raise ValueError("bucket: only for summarizers made of sums, counts and extremes")
     if bucket is None and not key and not others:

@@ -46,6 +46,7 @@ class Scan:
     def __init__(self, key: list[str], ticks: str, order: list[str], width: int | None = None) -> None:
         self.key, self.ticks, self.order, self.width = key, ticks, order, width
         self.steps, self._known = [], {}
+        self.bound = False  # a step needs all of a key's rows in one task
 
     def _once(self, kind: str, given: tuple, names: list[str], step) -> list[str]:
         """The same request twice is one step."""
@@ -98,6 +99,19 @@ class Scan:
 
         return self._once("numbered", (good,), ["n"], step)[0]
 
+    def before(self, good: Column, value: Column) -> Column:
+        """struct<last, n, mean, sd>: the last value up to here that counts, and the rows before it. A key's rows in one task."""
+        x = F.when(good, value)
+        self.bound = True
+
+        def step(df, found):
+            part = self._window().orderBy(*_quoted(self.order))
+            earlier = part.rowsBetween(_FIRST, -1)
+            here = F.struct(value.alias("last"), F.count(x).over(earlier).alias("n"), F.avg(x).over(earlier).alias("mean"), F.stddev_samp(x).over(earlier).alias("sd"))
+            return df.withColumn(found, F.when(good, here)).withColumn(found, F.last(found, True).over(part.rowsBetween(_FIRST, 0)))
+
+        return F.col(self._once("before", (good, value), ["rest"], step)[0])
+
     def decayed(self, good: Column, rate: float, values: list[Column], position: str | None = None) -> tuple[list[Column], Column]:
         """Decayed sums up to each row, as of the last row that counts, and that row's position; null before the first."""
         position = position or self.ticks

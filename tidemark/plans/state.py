@@ -114,6 +114,33 @@ class Rows:
         """A constant of the group near its mean, to be subtracted before products are summed; 0 where none is at hand."""
         return F.lit(0.0) if self.state.before is None else F.coalesce(self._before(F.avg, value), F.lit(0.0))
 
+    def without_last(self, x: Column) -> tuple[Column, Column, Column, Column]:
+        """The last value of the rows that count; and count, mean and sample deviation of the others. These are made from
+        the others alone: taking the last out of sums over all leaves mere rounding where the others are equal."""
+        state = self.state
+        if state.scan is not None:
+            found = state.scan.before(F.lit(True) if self.good is None else self.good, x)
+            return found["last"], found["n"], found["mean"], found["sd"]
+        if state.before is not None and state.origin is None:
+            row = F.struct(state.ticks.alias("t"), *[c.alias(f"o{i}") for i, c in enumerate(state.order)], x.alias("x"))
+            last = self._before(F.max, row)
+            rest, same = (Rows(state, c if self.good is None else self.good & c) for c in (row < last, row == last))
+            value, n, copies = self._add("max", self._only(row), F.max)["x"], rest.count(), same.count() - 1
+            mean, m2 = F.coalesce(rest.other(x, F.avg), F.lit(0.0)), F.coalesce(rest.other(x, F.var_pop) * n, F.lit(0.0))
+            total, apart = n + copies, value - mean  # rows equal to the last are no rows before it, but count but for one
+            m2 = m2 + F.coalesce(apart * apart * F.try_divide(n * copies, total), F.lit(0.0))
+            return value, total, mean + F.coalesce(apart * F.try_divide(copies, total), F.lit(0.0)), F.sqrt(F.try_divide(m2, total - 1))
+        rows = F.transform(self.ordered(x, names=("x",)), lambda v: v["x"])
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+        def step(a, v):
+            n = a["n"] + 1
+            mean = a["mean"] + (v - a["mean"]) / n
+            return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + (v - a["mean"]) * (v - mean)).alias("m2"))
+
+        found = F.aggregate(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), start, step)
+        return F.element_at(F.when(F.size(rows) > 0, rows), -1), found["n"], found["mean"], F.sqrt(F.try_divide(found["m2"], found["n"] - 1))
+
     def decayed(self, rate: float, *values: Column) -> list[Column] | None:
         """Sums of value * exp(-rate * (last - t)), t in ticks, last of the last row that counts; None where they would
         have to be taken from a list."""
