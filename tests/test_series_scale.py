@@ -59,3 +59,24 @@ def test_z_score_out_of_sample_with_ties(spark):
     before = np.array([1.0, 4.0, 7.0, 7.0, 2.0])
     want = (7.0 - before.mean()) / before.std(ddof=1)
     assert frame.summarize(S.z_score("x", False)).collect()[0].x_zScore == pytest.approx(want)
+
+
+@pytest.mark.parametrize("key", [None, "id"])
+def test_windows_merge_buckets_and_slide_nothing(spark, key):
+    """Windows of many buckets, sums before the window, and ties, against brute force; no frame slides over rows."""
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(-200, 500), rnd.randrange(2), i, rnd.choice([None, 1.0, -2.0, 7.5])) for i in range(150)]
+    frame = TimeSeriesFrame(spark.createDataFrame(rows, "time long, id int, seq int, x double"), order_by="seq")
+
+    def inside(t, k, low, high):
+        return [x for u, j, _, x in rows if t + low <= u <= t + high and (key is None or j == k)]
+
+    lags = frame.summarize_windows(W.past_absolute_time(40), S.lag_sum("x", 90), key).df
+    sums = frame.summarize_windows(W.past_absolute_time(400), [S.sum("x"), S.min("x"), S.count()], key, strategy="frame").df
+    for plan in (plan_of(lags), plan_of(sums)):
+        assert "RangeFrame, -40," not in plan and "RangeFrame, -400," not in plan and "RangeFrame, -130," not in plan
+    lags, sums = ({r.seq: r for r in df.collect()} for df in (lags, sums))
+    for t, k, seq, _ in rows:
+        near, far, long = (inside(t, k, *w) for w in ((-40, 0), (-130, -41), (-400, 0)))
+        assert (lags[seq]["sum"], lags[seq].lagSum) == (sum(x or 0 for x in near), sum(x or 0 for x in far))
+        assert (sums[seq].x_sum, sums[seq].x_min, sums[seq]["count"]) == (sum(x or 0 for x in long), min((x for x in long if x is not None), default=None), len(long))

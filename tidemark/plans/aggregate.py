@@ -11,9 +11,10 @@ from tidemark.functions.time import from_ticks, length_in_ticks, per_tick, ticks
 from tidemark.functions.windows import TimeWindow
 from tidemark.plans import buckets
 from tidemark.plans.scan import REACH, Scan, attached
-from tidemark.plans.state import Primitives, State
+from tidemark.plans.state import Primitive, Primitives, State
 
 TICKS, ROW = "__ticks", "__row"
+TASK_ROWS, TASK_BYTES = 500_000, 2 << 20  # of the input, for each task of a window
 
 
 def quoted(names) -> list[Column]:
@@ -129,10 +130,11 @@ def running(df: DataFrame, summarizer, time: str, key: list[str], order_by: tupl
 def windows(df: DataFrame, summarizer, time: str, window: TimeWindow, key: list[str], order_by: tuple[str, ...] = (), strategy: str = "auto", factor: int = buckets.FACTOR) -> DataFrame:
     """Every row with the summary of the rows of its key whose time lies in its window.
 
-    strategy: "frame" slides a range frame (cost: rows times rows in a window); "prefix" takes differences of prefix sums
-    (sums and counts only); "blocks" merges what lies before and behind a bucket's edge (sums, counts and extremes). The
-    last two cost the same whatever the window. "auto": without a key, or for moving averages, prefix where possible,
-    then blocks where possible, else frame. In any case rows are dealt by key and time bucket."""
+    strategy: "prefix" takes differences of prefix sums (sums and counts only); "blocks" merges running values of buckets
+    (sums, counts and extremes). Their cost is the same whatever the window. "frame" slides a range frame (cost: rows
+    times rows in a window) where blocks can't serve. "auto": for moving averages, and for centred moments without a key,
+    prefix; else blocks where possible, else frame. Without a key, blocks also serve for prefix, as prefix keeps 16
+    window lengths in one task. In any case rows are dealt by key and time bucket."""
     summarizer = S.as_summarizer(summarizer)
     kind, columns = time_type(df, time), df.columns
     reach = buckets.reach_of(length_in_ticks(window.length, kind))
@@ -148,9 +150,12 @@ def windows(df: DataFrame, summarizer, time: str, window: TimeWindow, key: list[
     state = state_for(ready, time, order_by, columns, before={} if fits else None, origin=F.col(buckets.BUCKET) * width if fits else None)
     outputs = summarizer.outputs(state)
     found = state.primitives
+    merging = found.found and found.mergeable and not state.rates and not state.before
     if strategy == "auto":
         linear = found.found and (not key or state.rates)
-        strategy = "prefix" if linear and found.subtractable else "blocks" if linear and found.mergeable else "frame"
+        strategy = "prefix" if linear and found.subtractable else "frame"
+    if merging and (strategy == "frame" or strategy == "prefix" and not key and found.subtractable):
+        strategy = "blocks"
     if strategy == "prefix" and not found.subtractable:
         raise ValueError("prefix: only for summarizers made of sums and counts")
     if strategy == "blocks" and not found.mergeable:
@@ -158,7 +163,8 @@ def windows(df: DataFrame, summarizer, time: str, window: TimeWindow, key: list[
     if strategy == "blocks":
         if state.rates:
             raise ValueError("blocks: not for moving averages")
-        return _blocks(ready, state, outputs, columns, key, reach, window.future)
+        found = _blocks(ready, found.found, columns, key, reach, window.future)
+        return found.select(*quoted(columns), *[c.alias(n) for n, c in outputs])
     dealt = buckets.repeated(ready, TICKS, width, reach, window.future, "__own")
     if state.before:
         part = Window.partitionBy(*quoted(key), buckets.BUCKET)
@@ -208,33 +214,82 @@ def _prefix(dealt: DataFrame, state: State, outputs, columns: list[str], key: li
     return found.withColumns(shown).select(*[F.col(f"`{c}`") for c in columns], *[c.alias(n) for n, c in outputs])
 
 
-def _blocks(ready: DataFrame, state: State, outputs, columns: list[str], key: list[str], reach: int, future: bool) -> DataFrame:
-    """Buckets are one tick longer than a window, so that a window is the start of its row's bucket up to the row, and the
-    end of the bucket before (future: the other way round). Both parts are running values; merging them subtracts nothing.
-
-    A bucket's partition has its own rows and those of the neighbour; each own row sends one probe to where its window
-    begins (future: ends) in the neighbour, and meets it by number within the same partition."""
-    parts, width = state.primitives.found, reach + 1
-    numbered = ready.withColumns({n: p.value for n, p in parts.items()}).withColumn(ROW, F.monotonically_increasing_id())
-    home, step = buckets.home_of(TICKS, width), (-1 if future else 1)
-    place = lambda bucket, at, kind: F.struct(bucket.alias("b"), at.alias("at"), F.lit(kind).alias("kind"))
-    t = F.col(TICKS)
-    placed = numbered.withColumn("__p", F.explode(F.array(place(home, t, 1), place(home + step, t, 0), place(home, t + reach if future else t - reach, 2))))
-    placed = placed.withColumn(buckets.BUCKET, F.col("__p.b"))
-    kind = F.col("__p.kind")  # 1: own row, 0: the neighbour's, 2: probe
+def _even_buckets(ready: DataFrame, reach: int) -> tuple[int, int, int]:
+    """For a series without a key (one query for its range of time and rows): the bucket's width, partitions, and the
+    window's length, which need not pass the range. Partitions grow with rows, so that a task's memory doesn't."""
+    first, last, rows = ready.agg(F.min(TICKS), F.max(TICKS), F.count(F.lit(1))).first()
+    pieces = max(int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    if first is None:
+        return 1, pieces, 0
+    reach = min(reach, last - first)
+    return min(reach + 1, -(-(last - first + 1) // (4 * pieces))), pieces, reach
+
+
+def _partitions_for(df: DataFrame) -> int:
+    """Shuffle partitions, or more for a large table, by the planner's estimate of its size."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES), 16 * least))
+
+
+def _merged(a: Column, b: Column, kind: str) -> Column:
+    if kind in ("sum", "count"):
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    return F.least(a, b) if kind == "min" else F.greatest(a, b)
+
+
+def _blocks(ready: DataFrame, parts: dict[str, Primitive], columns: list[str], key: list[str], reach: int, future: bool, shift: int = 0) -> DataFrame:
+    """columns and each part over the rows in [t - reach, t] (future: [t, t + reach]), once these are moved by shift ticks.
+
+    A window is the end of a bucket k buckets back, the buckets between, and the start of its row's bucket up to the row.
+    Ends and starts are running values, those between come from a table of buckets; merging them subtracts nothing. The
+    grid of the buckets back is moved, so that all windows of a bucket begin in one of them. With a key, buckets are
+    one tick longer than a window; without, they are even pieces of the table's range of time, but no longer than that.
+
+    A bucket's partition has its own rows, those of the bucket back, and a row for what lies between; each own row sends
+    one probe to where its window begins, and meets it by number within the same partition."""
+    width, pieces = reach + 1, 0
+    if key:
+        pieces = _partitions_for(ready)
+    else:
+        width, pieces, reach = _even_buckets(ready, reach)
+    back = max(1, -(-reach // width))
+    moved = back * width - reach  # of the grid of the buckets back
+    t, u = "__t", "__u"
+    rows = ready.withColumns({n: p.value for n, p in parts.items()}).withColumn(t, -F.col(TICKS) if future else F.col(TICKS))
+    rows = rows.withColumn(u, F.col(t) + shift).withColumn("__e", F.col(u) - moved)
+    numbered = rows.withColumn(ROW, F.monotonically_increasing_id())
+    home, mine, far = buckets.home_of(t, width), buckets.home_of(u, width), buckets.home_of("__e", width) + back
+    place = lambda bucket, pos, kind: F.struct(bucket.alias("b"), pos.alias("pos"), F.lit(kind).alias("kind"))
+    own, near, theirs, probe = place(home, F.col(t), 1), place(mine, F.col(u), 3), place(far, -F.col(u), 0), place(home, reach - F.col(t), 2)
+    seen = [own, near, probe] if shift else [own, probe]
+    none = F.array(own, near) if shift else F.array(own)
+    placed = F.when(F.col(t).isNull(), none).when(far > mine, F.array(*seen, theirs)).otherwise(F.array(*seen))
+    dealt = numbered.withColumn("__p", F.explode(placed)).withColumns({buckets.BUCKET: F.col("__p.b"), "__pos": F.col("__p.pos"), "__kind": F.col("__p.kind")})
+    kind = F.col("__kind")  # 1: own row, 3: what it adds if moved, 0: the bucket back's, 2: probe; null: between
+    adds = kind.isin(0, 3 if shift else 1)
+    dealt = dealt.withColumns({**{c: F.when(kind == 1, F.col(f"`{c}`")) for c in columns if c not in key}, **{n: F.when(adds, F.col(n)) for n in parts}})
+    dealt = dealt.withColumn("__back", kind.isin(0, 2)).select(*quoted(columns), ROW, buckets.BUCKET, "__pos", "__kind", "__back", *parts)
     fold = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "last": F.max}
-    part = Window.partitionBy(*quoted(key), buckets.BUCKET)
-    up, down = part.orderBy("__p.at"), part.orderBy(F.col("__p.at").desc())
-    own, other = (down, up) if future else (up, down)
-    frame = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    mine = {f"{n}_own": fold[p.kind](F.when(kind == 1, F.col(n))).over(frame(own)) for n, p in parts.items()}
-    theirs = {f"{n}_far": fold[p.kind](F.when(kind == 0, F.col(n))).over(frame(other)) for n, p in parts.items()}
-    summed = placed.withColumns(mine).withColumns(theirs)
-    probe = Window.partitionBy(*quoted(key), buckets.BUCKET, ROW)
-    met = summed.withColumns({f"{n}_far": F.max(F.when(kind == 2, F.col(f"{n}_far"))).over(probe) for n in parts}).where(kind == 1)
-    both = {"min": F.least, "max": F.greatest, "last": F.greatest}
-    both["sum"] = both["count"] = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-    return met.withColumns({n: both[p.kind](F.col(f"{n}_own"), F.col(f"{n}_far")) for n, p in parts.items()}).select(*quoted(columns), *[c.alias(n) for n, c in outputs])
+    between = {n: f"{n}_between" for n in parts}
+    if back > 1:
+        merge = fold | {"count": F.sum}
+        cell = "__cell"
+        cells = rows.where(F.col(u).isNotNull()).withColumn(cell, mine * 2 + F.when(F.pmod(F.col(u), F.lit(width)) >= moved, 1).otherwise(0))
+        cells = cells.groupBy(*quoted(key), cell).agg(*[fold[p.kind](n).alias(n) for n, p in parts.items()]).withColumn("__ask", F.lit(False))
+        asks = rows.where(F.col(t).isNotNull()).select(*quoted(key), (home * 2).alias(cell)).distinct().withColumn("__ask", F.lit(True))
+        inside = Window.partitionBy(*quoted(key)).orderBy(cell).rangeBetween(3 - 2 * back, -1)
+        found = cells.unionByName(asks, allowMissingColumns=True).withColumns({between[n]: merge[p.kind](n).over(inside) for n, p in parts.items()})
+        found = found.where("__ask").select(*quoted(key), F.expr("__cell div 2").alias(buckets.BUCKET), F.lit(-(1 << 63)).alias("__pos"), F.lit(False).alias("__back"), *between.values())
+        dealt = dealt.unionByName(found, allowMissingColumns=True)
+    dealt = dealt.repartition(pieces, *quoted(key), buckets.BUCKET)
+    upto = Window.partitionBy(*quoted(key), buckets.BUCKET, "__back").orderBy("__pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = dealt.withColumns({**{n: fold[p.kind](n).over(upto) for n, p in parts.items()}, **({b: F.max(b).over(upto) for b in between.values()} if back > 1 else {})})
+    pair = Window.partitionBy(*quoted(key), buckets.BUCKET, ROW)
+    met = summed.where(kind.isin(1, 2)).withColumns({f"{n}_far": F.max(F.when(kind == 2, F.col(n))).over(pair) for n in parts}).where(kind == 1)
+    total = {n: _merged(F.col(f"{n}_far"), F.col(n), p.kind) for n, p in parts.items()}
+    if back > 1:
+        total = {n: _merged(F.col(between[n]), c, parts[n].kind) for n, c in total.items()}
+    return met.select(*quoted(columns), *[c.alias(n) for n, c in total.items()])
 
 
 def _lag_windows(df: DataFrame, s: S.LagSum, time: str, window: TimeWindow, key: list[str]) -> DataFrame:
@@ -243,8 +298,11 @@ def _lag_windows(df: DataFrame, s: S.LagSum, time: str, window: TimeWindow, key:
         raise ValueError("lag_sum looks back")
     kind, columns = time_type(df, time), df.columns
     reach, lag = (min(length_in_ticks(x, kind), buckets.LONGEST // 2) for x in (window.length, s.lookback))
-    dealt = buckets.repeated(prepared(df, time), TICKS, buckets.width_for(reach + lag), reach + lag, False, "__own")
-    order = Window.partitionBy(*key, buckets.BUCKET).orderBy(TICKS)
     x = F.col(s.column).cast("double")
-    found = dealt.withColumn("lagSum", F.coalesce(F.sum(x).over(order.rangeBetween(-reach - lag, -reach - 1)), F.lit(0.0))).withColumn("sum", F.coalesce(F.sum(x).over(order.rangeBetween(-reach, 0)), F.lit(0.0)))
-    return found.where("__own").select(*quoted(columns), "lagSum", "sum")
+    part = Primitive("sum", x, F.sum(x))
+    found = _blocks(prepared(df, time), {"__now": part}, columns, key, reach, False)
+    if lag:
+        found = _blocks(prepared(found, time), {"__lag": part}, [*columns, "__now"], key, lag - 1, False, reach + 1)
+    else:
+        found = found.withColumn("__lag", F.lit(None).cast("double"))
+    return found.select(*quoted(columns), F.coalesce("__lag", F.lit(0.0)).alias("lagSum"), F.coalesce("__now", F.lit(0.0)).alias("sum"))
