@@ -80,3 +80,26 @@ def test_windows_merge_buckets_and_slide_nothing(spark, key):
         near, far, long = (inside(t, k, *w) for w in ((-40, 0), (-130, -41), (-400, 0)))
         assert (lags[seq]["sum"], lags[seq].lagSum) == (sum(x or 0 for x in near), sum(x or 0 for x in far))
         assert (sums[seq].x_sum, sums[seq].x_min, sums[seq]["count"]) == (sum(x or 0 for x in long), min((x for x in long if x is not None), default=None), len(long))
+
+
+def test_one_call_sees_windows_of_many_keys(spark):
+    rows = [(t, k, float(t * k)) for k in range(300) for t in range(4)]
+    frame = TimeSeriesFrame(spark.createDataFrame(rows, "time long, id int, v double"))
+
+    def sums(left, right, begins, ends):
+        return [right["v"].iloc[i:j].sum() for i, j in zip(begins, ends)], np.full(len(left), len(left))
+
+    for most in (7, 500_000):
+        got = frame.summarize_window_batches(W.past_absolute_time(1), sums, {"s": "double", "seen": "long"}, "id", max_size=most).df.collect()
+        assert {(r.time, r.id): r.s for r in got} == {(t, k): float(t * k + max(t - 1, 0) * k) for t, k, _ in rows}
+        assert max(r.seen for r in got) <= most and (most == 7 or max(r.seen for r in got) > 4)
+
+
+def test_arrow_files_keep_types(spark):
+    """Files are made from Arrow's arrays and not from Python objects, so a column of nulls keeps its type."""
+    import pyarrow as pa
+
+    frame = TimeSeriesFrame(spark.createDataFrame([(2, 1, None), (1, 1, None), (1, 2, 0.5)], "time long, id int, v double"))
+    for r in frame.summarize(S.arrow(["time", "v"]), "id").collect():
+        table = pa.ipc.open_file(r.arrow_bytes).read_all()
+        assert table.column("time").to_pylist() == [1, 2][: len(table)] and table.schema.field("v").type == pa.float64()

@@ -9,7 +9,8 @@ from collections.abc import Callable
 from datetime import timedelta
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,12 +251,13 @@ def arrow_rows(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem", "l_shipdate", ["l_orderkey", "l_linenumber"]).keep_columns("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     found = lines.cast({"l_quantity": "double", "l_extendedprice": "double"}).summarize_cycles(S.arrow(["l_quantity", "l_extendedprice"])).df
 
-    @F.pandas_udf("n long, quantity double, low double")
-    def opened(files: pd.Series) -> pd.DataFrame:
-        import pyarrow as pa
-
-        tables = [pa.ipc.open_file(f).read_pandas() for f in files]
-        return pd.DataFrame({"n": [len(t) for t in tables], "quantity": [t.l_quantity.sum() for t in tables], "low": [t.l_extendedprice.min() for t in tables]})
+    @F.arrow_udf("n long, quantity double, low double")
+    def opened(files: pa.Array) -> pa.Array:
+        made = []
+        for f in files:  # one at a time, read where it lies
+            t = pa.ipc.open_file(f.as_buffer()).read_all()
+            made.append({"n": len(t), "quantity": pc.sum(t["l_quantity"]).as_py(), "low": pc.min(t["l_extendedprice"]).as_py()})
+        return pa.array(made, pa.struct([("n", pa.int64()), ("quantity", pa.float64()), ("low", pa.float64())]))
 
     return shown(found.select("time", opened("arrow_bytes").alias("x")).select("time", "x.*"), 4)
 

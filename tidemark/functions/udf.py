@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,42 +178,55 @@ def windowed(df: DataFrame, by: list[str], ticks: str, own: str, low: int, high:
     return df.groupBy(*by).applyInPandas(group, schema)
 
 
+BATCH = 20_000  # own rows of several small groups in one call
+
+
 def window_batches(df: DataFrame, by: list[str], ticks: str, own: str, low: int, high: int, fn: Callable, fields: list[T.StructField], drop: list[str], order: list[str], most: int) -> DataFrame:
     """fn(left rows, right rows, begins, ends) for batches of at most `most` own rows and the rows that cover their windows:
-    row i of left has the rows begins[i] to ends[i] - 1 of right. It gives a value (or tuple of values) per left row."""
+    row i of left has the rows begins[i] to ends[i] - 1 of right. It gives a value (or tuple of values) per left row.
+    A batch may hold several groups, as a call for each small group costs more than its work."""
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = T.StructType([*kept, *fields])
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ticks, *order], kind="stable").reset_index(drop=True)
-        t, made = rows[ticks].to_numpy(), []
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(**{GROUP: rows.groupby(by, dropna=False, sort=False).ngroup()})
+        rows = rows.sort_values([GROUP, ticks, *order], kind="stable").reset_index(drop=True)
+        t, names, made = rows[ticks].to_numpy(), [f.name for f in kept], []
+        edges = np.flatnonzero(np.diff(rows[GROUP].to_numpy(), prepend=-1, append=-1))
         mine = np.flatnonzero(rows[own].to_numpy())
-        begins, ends = np.searchsorted(t, t[mine] + low, "left"), np.searchsorted(t, t[mine] + high, "right")
-        names = [f.name for f in kept]
-        for i in range(0, len(mine), most):
-            a, b = begins[i : i + most], ends[i : i + most]
-            left = rows.iloc[mine[i : i + most]][names].reset_index(drop=True)
+        begins, ends, cuts = np.empty(len(mine), np.int64), np.empty(len(mine), np.int64), [0]
+        places = np.searchsorted(mine, edges)
+        for i, j, a, b in zip(edges, edges[1:], places, places[1:], strict=False):
+            some, at = t[i:j], t[mine[a:b]]
+            begins[a:b], ends[a:b] = i + np.searchsorted(some, at + low, "left"), i + np.searchsorted(some, at + high, "right")
+            if b - cuts[-1] > min(BATCH, most) and a > cuts[-1]:
+                cuts.append(a)
+            while b - cuts[-1] > most:
+                cuts.append(cuts[-1] + most)
+        for i, j in zip(cuts, [*cuts[1:], len(mine)], strict=True):
+            if i == j:
+                continue
+            a, b = begins[i:j], ends[i:j]
+            left = rows.iloc[mine[i:j]][names].reset_index(drop=True)
             values = fn(left, rows.iloc[a[0] : b[-1]][names].reset_index(drop=True), a - a[0], b - a[0])
             values = values if len(fields) > 1 else (values,)
             made.append(left.assign(**{f.name: np.asarray(v) for f, v in zip(fields, values, strict=True)}))
         return pd.concat(made) if made else rows.iloc[:0].reindex(columns=schema.names)
 
-    return df.groupBy(*by).applyInPandas(group, schema)
+    return _dealt(df, by).groupBy(GROUP).applyInPandas(pack, schema)
 
 
 def arrow_file(rows):
-    """array<struct> as the bytes of an Arrow file."""
-
-    @F.pandas_udf("binary")
-    def encoded(lists: pd.Series) -> pd.Series:
-        import pyarrow as pa
+    """array<struct> as the bytes of an Arrow file, made from Arrow's own arrays, one group at a time."""
 
+    @F.arrow_udf("binary")
+    def encoded(lists: pa.Array) -> pa.Array:
         def one(records) -> bytes:
-            sink, table = pa.BufferOutputStream(), pa.Table.from_pylist([dict(r) if isinstance(r, dict) else r.asDict() for r in records])
-            with pa.ipc.new_file(sink, table.schema) as writer:
-                writer.write_table(table)
+            sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_struct_array(records)
+            with pa.ipc.new_file(sink, batch.schema) as writer:
+                writer.write_batch(batch)
             return sink.getvalue().to_pybytes()
 
-        return lists.map(one)
+        return pa.array([one(x.values) for x in lists], pa.binary())
 
     return encoded(rows)
